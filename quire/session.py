@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +49,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once in an application."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        _shipped.add(sc.applicationId)
+        home = Path(__file__).resolve().parent
+        with tempfile.TemporaryDirectory() as tmp:
+            shutil.copytree(home, f"{tmp}/in/{home.name}", ignore=shutil.ignore_patterns("__pycache__"))
+            made = shutil.make_archive(f"{tempfile.mkdtemp(prefix='quire-')}/{home.name}", "zip", f"{tmp}/in")
+        sc.addPyFile(made)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
