@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.text import classifier_text
-from quire.llm import encode, plain_form, term_counts
+from quire.llm import encode, name_variants, plain_form, term_counts
 from quire.operators.packed_values import packed_values, split_packed
 from quire.session import load
 
@@ -64,3 +64,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     docs = load(spark, d, "documents").select("doc_id", "text").dropDuplicates(["doc_id"])
     return encode.token_ids(docs, F.col("text")).select("doc_id", "ids")
+
+
+@query("p1_found")
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    authors = load(spark, d, "current_books").select(F.explode("authors").alias("name"))
+    return name_variants.name_pairs(authors)
