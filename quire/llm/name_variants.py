@@ -41,7 +41,7 @@ GIVEN = {
     "guillermo": "guille memo willy", "harriet": "hattie harrie", "herminia": "hermi mina", "hernan": "nan", "ignacio": "nacho igna", "imogen": "immy immie", "ines": "inesita", "inigo": "", "isabel": "isa chabela belita",
     "jacqueline": "jackie jacqui", "jesus": "chus suso chuy", "jimena": "jime mena", "jonathan": "jon jonny johnny", "jose": "pepe jose pepito", "joseph": "joe joey jos",
     "josephine": "josie jo", "judith": "judy jude", "julian": "juli", "katherine": "kate kathy katie kitty kath", "lawrence": "larry laurie lawr", "leandro": "lean leo",
-    "leonard": "len lenny leo", "lourdes": "lourditas lulu", "lucia": "luci lucy", "manuel": "manolo manu lolo ml", "margaret": "maggie meg peggy marge margie", "marta": "martita",
+    "leonard": "len lenny leo", "lourdes": "lourditas lulu", "lucia": "luci lucy", "manuel": "manolo manu lolo", "margaret": "maggie meg peggy marge margie", "marta": "martita",
     "martin": "tin", "matthew": "matt matty", "mercedes": "merche meche", "nathaniel": "nate nat nathan", "nicholas": "nick nicky nico", "nicolas": "nico", "noelia": "noe",
     "oscar": "", "patrick": "pat paddy", "penelope": "penny pen", "pilar": "pili piluca", "quentin": "quent", "rafael": "rafa", "ramiro": "rami", "rebecca": "becky becca", "richard": "dick rick richie rich",
     "robert": "bob rob bobby bert robt", "rocio": "chio", "rosalind": "roz ros lindy", "rosario": "charo chayo", "samuel": "sam sammy saml", "santiago": "santi chago tiago", "sebastian": "sebas bastian",
@@ -124,17 +124,13 @@ def body_type(words: list[str]) -> tuple[str, list[str]] | None:
             if p not in {kinds.get(i) for i in used}:
                 used |= {i for i, w in enumerate(words) if i not in used and len(w) >= 2 and p.startswith(w)}
         return b, [w for i, w in enumerate(words) if i not in used and w not in PARTICLES and w not in _COMPANY and len(w) > 1]
-    # All words of the type shortened: Univ. Pr., Inst. Est., Hist. Soc., A. C.
+    # All words of the type shortened: Univ. Pr., Inst. Est., Hist. Soc.
     for b in BODIES:
         parts = b.split()
-        if len(parts) < 2:
-            continue
         for i in range(len(words) - 1):
             x, y = words[i : i + 2]
-            short = len(x) >= 2 and len(y) >= 2 or len(x) == len(y) == 1 and b == "asociacion cultural"
-            if short and parts[0].startswith(x) and parts[1].startswith(y) and x not in GIVEN and (len(x) > 2 or x in ("gr", "a")):
-                rest = [w for j, w in enumerate(words) if j not in (i, i + 1) and w not in PARTICLES and w not in _COMPANY and len(w) > 1]
-                if rest:
+            if len(parts) == 2 and len(x) > 2 and len(y) > 1 and parts[0].startswith(x) and parts[1].startswith(y) and x not in GIVEN:
+                if rest := [w for j, w in enumerate(words) if j not in (i, i + 1) and w not in PARTICLES and w not in _COMPANY and len(w) > 1]:
                     return b, rest
     return None
 
@@ -238,7 +234,11 @@ def surname_fit(a: str, b: str) -> int:
 def same_name(ka, ga, sa, kb, gb, sb) -> int:
     """2: surely one person or body; 1: one of the two has only initials that fit the other; 0: not the same."""
     if ka != kb:
-        return 0
+        if kb == "person":
+            ka, ga, sa, kb, gb, sb = kb, gb, sb, ka, ga, sa
+        # A body by the initials of its type: A. C., UP.
+        initials = ka == "person" and kb != "person" and list(ga) == [w[0] for w in kb.split()]
+        return 1 if initials and len(sa) == 1 and len(sb) == 1 and surname_fit(sa[0], sb[0]) == 2 else 0
     if ka != "person":
         a, b = "".join(sa), "".join(sb)
         return 2 if a and b and (alike(a, b) or min(len(a), len(b)) > 7 and ratio(a, b) >= 0.9) else 0
@@ -352,7 +352,7 @@ def link_names(names: DataFrame, column: str = "name", least: int = 4, common: i
     key = blocks(forms, least, common)
     here = forms.select("id", "kind", "given", "last")
     side = lambda x: key.join(here, "id").select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "kind", "given", "last")])
-    pairs = side("a").join(side("b"), "key").where("id_a < id_b and kind_a = kind_b").dropDuplicates(["id_a", "id_b"])
+    pairs = side("a").join(side("b"), "key").where("id_a < id_b and (kind_a = kind_b or kind_a = 'person' and length(given_a[0]) = 1 or kind_b = 'person' and length(given_b[0]) = 1)").dropDuplicates(["id_a", "id_b"])
     fit = cut(pairs.withColumn("fit", fit_udf()("kind_a", "given_a", "last_a", "kind_b", "given_b", "last_b")).where("fit > 0").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "fit"))
     sure = fit.where("fit = 2").select("a", "b")
     group = cut(components(forms.select("id"), sure))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.text import classifier_text
-from quire.llm import encode, name_variants, plain_form, term_counts
+from quire.llm import encode, name_variants, plain_form, record_linkage, term_counts
 from quire.operators.packed_values import packed_values, split_packed
 from quire.session import load
 
@@ -70,3 +70,27 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     authors = load(spark, d, "current_books").select(F.explode("authors").alias("name"))
     return name_variants.name_pairs(authors)
+
+
+def _sources(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    no_name = ["", "desconocido", "unknown"]
+    books = load(spark, d, "current_books")
+    named = F.exists("authors", lambda a: a.isNotNull() & ~F.lower(F.trim(a)).isin(no_name))
+    books = books.where(F.col("title").isNotNull() & named).select("book_id", "title", "authors", F.col("pubyear").alias("year"), F.try_element_at("languages", F.lit(1)).alias("language"), "series", "series_index")
+    records = load(spark, d, "candidates").select(
+        "bookid", "title", F.array("author.name").alias("authors"), F.col("pubyear").alias("year"), F.col("lang").alias("language"),
+        F.lit(None).cast("string").alias("series"), F.lit(None).cast("double").alias("series_index"),
+    )
+    return books, records
+
+
+@query("p3_confidence")
+def p3_confidence(spark: SparkSession, d: str) -> DataFrame:
+    pairs = record_linkage.link_records(*_sources(spark, d), "book_id", "bookid")
+    return pairs.select("book_id", "bookid", F.round("confidence", 6).alias("confidence"))
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = record_linkage.link_records(*_sources(spark, d), "book_id", "bookid")
+    return record_linkage.same_work(pairs).select("book_id", "bookid")
