@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.text import classifier_text
-from quire.llm import encode, name_variants, plain_form, record_linkage, term_counts
+from quire.llm import encode, name_variants, packing, personal_data, plain_form, record_linkage, term_counts
 from quire.operators.packed_values import packed_values, split_packed
-from quire.session import load
+from quire.session import cut, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,3 +94,25 @@ def p3_confidence(spark: SparkSession, d: str) -> DataFrame:
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = record_linkage.link_records(*_sources(spark, d), "book_id", "bookid")
     return record_linkage.same_work(pairs).select("book_id", "bookid")
+
+
+#: Room of a container in p7, in tokens.
+CAPACITY = 2048
+
+
+@query("p7_containers")
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    docs = load(spark, d, "documents").select("doc_id", "text").dropDuplicates(["doc_id"])
+    sizes = cut(encode.token_counts(docs, F.col("text")).select("doc_id", "tokens"))
+    return packing.fill_containers(sizes, "doc_id", "tokens", CAPACITY)
+
+
+@query("p8_found")
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    items = personal_data.personal_items(load(spark, d, "documents"), "doc_id", "text", ["kind", "lang"])
+    return items.select("doc_id", "pii_kind", "found").distinct()
+
+
+@query("p8_text")
+def p8_text(spark: SparkSession, d: str) -> DataFrame:
+    return personal_data.sanitise(load(spark, d, "documents"), "doc_id", "text", ["kind", "lang"], load(spark, d, "pii_kinds"))
