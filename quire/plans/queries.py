@@ -29,3 +29,11 @@ def query(name: str, sql: str | None = None):
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     rows = load(spark, d, "training_rows").select("row_id", "tags").where("tags is not null").dropDuplicates(["row_id"])
     return split_packed(rows, "tags", ["row_id"], "pos", "tag")
+
+
+def _register() -> None:
+    """Load the modules whose queries join the registry."""
+    from quire.plans import catalogue  # noqa: F401
+
+
+_register()
