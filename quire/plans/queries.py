@@ -33,7 +33,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _register() -> None:
     """Load the modules whose queries join the registry."""
-    from quire.plans import catalogue  # noqa: F401
+    from quire.plans import catalogue, works  # noqa: F401
 
 
 _register()

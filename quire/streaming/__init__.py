@@ -1 +1 @@
-"""streaming of the catalogue engine."""
+"""Incremental runs: results appended as they come, with what was deleted kept out."""
