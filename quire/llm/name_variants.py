@@ -322,17 +322,20 @@ def blocks(forms: DataFrame, least: int = 4, common: int = 60) -> DataFrame:
     of longer suffixes are pairs of the shorter one too, so one key a token loses nothing.
     """
     tokens = forms.select("id", "kind", F.explode(F.array_distinct(F.concat("fields", "last"))).alias("token"), F.concat("fields", "last").alias("all")).where(F.length("token") > 1)
+    # Every length up to 20, then in growing steps, so that a token of any length has few suffixes.
     size = F.length("token")
-    lengths = F.sequence(F.least(F.lit(least), size), size)
+    steps = [n for n in [*range(least, 21), 24, 32, 48, *(64 << k for k in range(25))] if n >= least]
+    lengths = F.when(size < least, F.array(size)).otherwise(F.filter(F.array(*map(F.lit, steps)), lambda n: n <= size))
     suffixes = tokens.select("id", "kind", "token", "all", F.explode(lengths).alias("n")).withColumn("suffix", F.expr("right(token, n)"))
     often = suffixes.groupBy("suffix").agg(F.count_distinct("id").alias("forms"))
     fine = suffixes.join(often.where(F.col("forms") <= common), "suffix")
     best = fine.groupBy("id", "token").agg(F.min("n").alias("n")).select("id", F.expr("right(token, n)").alias("key"), "token")
     rest = tokens.join(best.select("id", "token"), ["id", "token"], "left_anti")
-    refined = rest.select("id", "token", F.explode(F.filter("all", lambda x: F.length(x) > 2)).alias("other")).where("other <> token")
+    others = F.filter("all", lambda x: (F.length(x) > 2) & (x != F.col("token")))
+    refined = rest.select("id", "token", F.explode(F.when(F.size(others) > 0, others).otherwise(F.array(F.lit("")))).alias("other"))
     refined = refined.select("id", F.concat("token", F.lit("|"), F.substring("other", 1, 3)).alias("key"))
     # An initial is shorter than any suffix: the first letter of each given name, refined in the same way.
-    people = forms.where("kind = 'person'").select("id", F.explode(F.array_distinct(F.transform("fields", lambda g: F.substring(g, 1, 1)))).alias("i"), "last")
+    people = forms.select("id", F.explode(F.array_distinct(F.transform("fields", lambda g: F.substring(g, 1, 1)))).alias("i"), "last")
     first = people.select("id", "i", F.explode("last").alias("other")).where(F.length("other") > 2)
     first = first.select("id", F.concat("i", F.lit("|"), F.substring("other", 1, 4)).alias("key"))
     return best.select("id", "key").union(refined).union(first).distinct()
@@ -341,7 +344,7 @@ def blocks(forms: DataFrame, least: int = 4, common: int = 60) -> DataFrame:
 def link_names(names: DataFrame, column: str = "name", least: int = 4, common: int = 60) -> DataFrame:
     """(name, group): every distinct name of the column with the id of its group.
 
-    NULL, empty and blank strings and the placeholders of ``NO_NAMES`` are no names and have no row. Equal strings are
+    NULL, strings without a letter and the placeholders of ``NO_NAMES`` are no names and have no row. Equal strings are
     one name; a name without variants is a group of its own. Other columns are dropped.
     """
     each = names.select(F.col(f"`{column}`").alias("name")).where(F.col("name").isNotNull()).groupBy("name").agg(F.count("*").alias("uses"))

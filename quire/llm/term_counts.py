@@ -72,7 +72,8 @@ class TermCounts:
 
     def counts(self) -> DataFrame:
         """(field, term, occurrences, records) as last merged."""
-        return self.spark.read.parquet(self._path("counts")).drop("bucket")
+        schema = "field string, bucket long, term string, occurrences long, records long"  # a store may be empty
+        return self.spark.read.schema(schema).parquet(self._path("counts")).drop("bucket")
 
     def records(self) -> DataFrame | None:
         return self.spark.read.parquet(self._path("records")) if self.version else None
