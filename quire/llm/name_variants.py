@@ -173,8 +173,10 @@ def read_name(raw: str) -> tuple[str, tuple[str, ...], tuple[str, ...]] | None:
     if not pieces:
         return None
 
+    dotted = {fold(w) for w in re.findall(r"([^\W\d_]{3,})\.", text)}
+
     def given(w: str) -> bool:
-        return bool(called(w))
+        return bool(called(w)) or w in dotted and any(full.startswith(w) for full in GIVEN)
 
     if len(pieces) > 1:
         last, first = pieces[0], [w for p in pieces[1:] for w in p]

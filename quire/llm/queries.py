@@ -31,9 +31,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     titles = load(spark, d, "current_books").select("book_id", "title")
     rows = load(spark, d, "training_rows").select("row_id", "tags")
     vocabulary = plain_form.word_vocabulary(titles, "title")
-    plain = plain_form.plain_udf(spark, load(spark, d, "tag_terms").select("canon"), vocabulary)
+    known = load(spark, d, "tag_terms").select("canon")
+    plain, plain_tag = plain_form.plain_udf(spark, known, vocabulary), plain_form.plain_udf(spark, known)
     tags = split_packed(rows.where(F.col("tags").rlike(plain_form.SUSPECT)), "tags", ["row_id"], "pos", "tag")
-    found = [("title", plain_form.odd_strings(titles, "book_id", "title", plain)), ("tags", plain_form.odd_strings(tags, "row_id", "tag", plain))]
+    found = [("title", plain_form.odd_strings(titles, "book_id", "title", plain)), ("tags", plain_form.odd_strings(tags, "row_id", "tag", plain_tag))]
     a, b = (df.select(F.lit(name).alias("field_name"), "rec_id", "plain") for name, df in found)
     return a.unionByName(b)
 
