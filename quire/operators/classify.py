@@ -114,7 +114,7 @@ def stored_label(value: Column) -> tuple[Column, Column]:
 def changes(rows: DataFrame, key: str) -> DataFrame:
     """PL02: the change set (key, field, value) of predictions with ``label, uncertain, moods``."""
     label = F.when(F.col("label").isNull(), F.lit(NO_DATA)).when(F.col("uncertain"), F.concat("label", F.lit(" " + REVIEW))).otherwise(F.col("label"))
-    return rows.select(key, F.inline(F.array(F.struct(F.lit("library").alias("field"), label.alias("value")), F.struct(F.lit("moods"), F.array_join("moods", ", ")))))
+    return rows.select(key, F.inline(F.array(F.struct(F.lit("library").alias("field"), label.alias("value")), F.struct(F.lit("moods").alias("field"), F.array_join("moods", ", ").alias("value")))))
 
 
 def applied(table: DataFrame, change: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
