@@ -46,11 +46,11 @@ def tfidf_cosines(cells: DataFrame, chapters: DataFrame, pairs: DataFrame) -> Da
     sides = pairs.join(live, "pair").select("pair", F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("a").alias("book")), F.struct(F.lit("b").alias("side"), F.col("b").alias("book")))).alias("s")).select("pair", "s.*")
     terms = chapters.select("book", "pos", "n", F.explode(words(F.col("text"))).alias("term")).groupBy("book", "pos", "n", "term").agg(F.count("*").alias("c"))
     t = sides.join(terms, "book")
-    df = t.groupBy("pair", "term").agg(F.count("*").alias("df"))
+    df = t.groupBy("pair", "term").agg(F.count("*").alias("df")).hint("merge")  # term tables grow with the texts: never a broadcast
     docs = sides.join(chapters.select("book", "pos"), "book").groupBy("pair").agg(F.count("*").alias("docs"))
     w = t.join(df, ["pair", "term"]).join(docs, "pair").withColumn("w", F.col("c") / F.col("n") * (F.log((F.col("docs") + 1) / (F.col("df") + 1)) + 1))
     norm = w.groupBy("pair", "side", "pos").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    a, b = (w.where(F.col("side") == x).select("pair", "term", F.col("pos").alias(f"pos_{x}"), F.col("w").alias(f"w_{x}")) for x in "ab")
+    a, b = (w.where(F.col("side") == x).select("pair", "term", F.col("pos").alias(f"pos_{x}"), F.col("w").alias(f"w_{x}")).hint("merge") for x in "ab")
     dots = cells.select("pair", "pos_a", "pos_b").join(a, ["pair", "pos_a"]).join(b, ["pair", "pos_b", "term"]).groupBy("pair", "pos_a", "pos_b").agg(F.sum(F.col("w_a") * F.col("w_b")).alias("dot"))
     na, nb = (norm.where(F.col("side") == x).select("pair", F.col("pos").alias(f"pos_{x}"), F.col("norm").alias(f"n_{x}")) for x in "ab")
     return dots.join(na, ["pair", "pos_a"]).join(nb, ["pair", "pos_b"]).select("pair", "pos_a", "pos_b", (F.col("dot") / (F.col("n_a") * F.col("n_b"))).alias("cosine"))
