@@ -5,12 +5,13 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from quire.session import build_session  # noqa: E402
+from quire.session import build_session, ship  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     s = build_session("tests", "local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false"})
     s.sparkContext.setLogLevel("ERROR")
+    ship(s)
     yield s
     s.stop()
