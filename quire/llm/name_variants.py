@@ -258,6 +258,8 @@ def same_name(ka, ga, sa, kb, gb, sb) -> int:
             return 0
         if i == 0:
             sure = min(sure, fit)
+    if sure == 1 and sa[0] != sb[0] and len(sa) != len(sb):
+        return 0  # an initial, a slip and a missing surname at once are too little to go by
     return sure
 
 
