@@ -7,9 +7,12 @@ pointwise mutual information, in bits, between the term standing at a name and a
 document, against what is expected from the document's kind alone. Names at terms whose disclosure exceeds a threshold
 are taken as personal and replaced by a placeholder; other terms stay, so the text remains readable.
 
-Terms of address and signature that are personal in themselves get a prior, counted as PRIOR_DOCS documents; with few
-documents it decides, with many the corpus does. Counts cover all documents, are aggregated before they are shuffled, and
-the terms are joined to the spans by key: nothing of the corpus is gathered on the driver.
+Terms of address and signature that are personal in themselves get a prior. The queries weigh it as PRIOR_SHARE of the
+corpus, so that it decides on terms that are rare in the corpus and the corpus on the others, whatever its size, and count
+a repeated text once; without a share it counts as PRIOR_DOCS documents. Where nearly all documents of a kind hold a
+protected entity no term can disclose much, so the threshold falls with the greatest disclosure possible. Counts cover all
+documents, are aggregated before they are shuffled, and the terms are joined to the spans by key: nothing of the corpus is
+gathered on the driver.
 """
 
 from __future__ import annotations
@@ -92,6 +95,8 @@ SIGNS = {
 } | {"r:<[email]>", "r:/[phone]", "r:;[id]", "r:,[phone]", "r:,[address]"}
 #: Documents with a protected entity by which every estimate is drawn to its prior; the prior of SIGNS in bits; the threshold.
 PRIOR_DOCS, PRIOR_BITS, LEAST_BITS = 10, 2.0, 0.7
+#: The weight of the prior of SIGNS as a share of the distinct texts; the share of the greatest possible bits that suffices.
+PRIOR_SHARE, TOP_SHARE = 0.003, 0.4
 #: Words that open a sentence with a capital and are no name.
 _OPENERS = set(
     "A Al An And Aquel Aquella As At Bajo Before Beneath Beside Between By Cada Con Cuando De Desde Durante El Ella En Entre Em Esa Ese Esta Este For From He Her His I I'd I'm I've If In It La Las Le Les Lo Los Mi Mon My Na "
@@ -185,34 +190,50 @@ def spans_udf():
 
 
 def spans(docs: DataFrame, key: str, text: str, group: list[str]) -> DataFrame:
-    """(key, group, spans, has): one row per span; ``has`` tells whether the document holds a structured item."""
-    found = docs.select(F.col(key).alias("key"), F.concat_ws("/", *[F.coalesce(F.col(g), F.lit("")) for g in group]).alias("group"), spans_udf()(F.col(text)).alias("spans"))
+    """(key, group, whole, has, n, spans): one row per document; ``has`` tells whether it holds a structured item, ``whole`` is a hash of its text."""
+    found = docs.select(F.col(key).alias("key"), F.concat_ws("/", *[F.coalesce(F.col(g), F.lit("")) for g in group]).alias("group"), F.xxhash64(text).alias("whole"), spans_udf()(F.col(text)).alias("spans"))
     has = F.exists("spans", lambda s: s["kind"] != "name")
-    return found.select("key", "group", has.alias("has"), F.size("spans").alias("n"), "spans")
+    return found.select("key", "group", "whole", has.alias("has"), F.size("spans").alias("n"), "spans")
 
 
-def disclosure(found: DataFrame) -> DataFrame:
-    """(term, bits, seen, due, docs): how strongly each term at a name reveals a protected entity, over all documents.
+def disclosure(found: DataFrame, prior_share: float | None = None) -> DataFrame:
+    """(term, seen, due, docs, bits, top): how strongly each term at a name reveals a protected entity, over all documents.
 
-    ``seen`` counts the term's documents that hold a protected entity, ``due`` how many would if only the group told.
+    ``seen`` counts the term's documents that hold a protected entity, ``due`` how many would if only the group told,
+    ``top`` the bits if all did. With ``prior_share`` the texts of a group are counted once each, and the prior of SIGNS
+    weighs that share of them; other terms are drawn to the base rate by PRIOR_DOCS in either case.
     """
-    base = found.groupBy("group").agg(F.avg(F.col("has").cast("int")).alias("base"))
-    terms = found.select("group", "has", F.explode(F.array_distinct(F.flatten(F.transform("spans", lambda s: s["terms"])))).alias("term"))
+    each = found.select("group", "whole", "has", F.array_distinct(F.flatten(F.transform("spans", lambda s: s["terms"]))).alias("terms"))
+    if prior_share is not None:
+        each = each.dropDuplicates(["group", "whole"])
+    base = each.groupBy("group").agg(F.avg(F.col("has").cast("int")).alias("base"), F.count("*").alias("n"))
+    terms = each.select("group", "has", F.explode("terms").alias("term"))
     by = terms.groupBy("term", "group").agg(F.sum(F.col("has").cast("int")).alias("seen"), F.count("*").alias("docs"))
-    by = by.join(base, "group").groupBy("term").agg(F.sum("seen").alias("seen"), F.sum(F.col("docs") * F.col("base")).alias("due"), F.sum("docs").alias("docs"))
-    prior = F.when(F.col("term").isin(*sorted(SIGNS)), F.lit(2.0**PRIOR_BITS)).otherwise(F.lit(1.0))
-    return by.withColumn("bits", F.log2((F.col("seen") + PRIOR_DOCS * prior) / (F.col("due") + PRIOR_DOCS)))
-
-
-def personal_items(docs: DataFrame, key: str, text: str, group: list[str], least_bits: float = LEAST_BITS) -> DataFrame:
+    by = by.join(base.drop("n"), "group").groupBy("term").agg(F.sum("seen").alias("seen"), F.sum(F.col("docs") * F.col("base")).alias("due"), F.sum("docs").alias("docs"))
+    sign = F.col("term").isin(*sorted(SIGNS))
+    weight = F.lit(float(PRIOR_DOCS))
+    if prior_share is not None:
+        by = by.crossJoin(F.broadcast(base.agg(F.sum("n").alias("all"))))  # one row
+        weight = F.when(sign, F.col("all") * prior_share).otherwise(weight)
+    bits = F.log2((F.col("seen") + weight * F.when(sign, F.lit(2.0**PRIOR_BITS)).otherwise(F.lit(1.0))) / (F.col("due") + weight))
+    top = F.when(F.col("due") > 0, F.log2(F.col("docs") / F.col("due")))
+    return by.select("term", "seen", "due", "docs", bits.alias("bits"), top.alias("top"))
+
+
+def personal_items(docs: DataFrame, key: str, text: str, group: list[str], least_bits: float = LEAST_BITS, prior_share: float | None = None) -> DataFrame:
     """(key, pii_kind, start, found): every item as it stands, with its offset in code points.
 
     ``group``: columns of the document's kind. NULL and empty texts give no rows; repeated rows of a key count
-    once; an empty table gives no rows. Whole texts are read, whatever their length.
+    once; an empty table gives no rows. Whole texts are read, whatever their length. With ``prior_share`` the choice of
+    names does not depend on how often the corpus repeats itself, and a term also counts if it reaches TOP_SHARE of the
+    bits that its groups allow.
     """
     one = docs.select(key, text, *group).dropDuplicates([key])
     found = cut(spans(one, key, text, group))
-    strong = disclosure(found).where(F.col("bits") >= least_bits).select("term", "bits")
+    least = F.lit(least_bits)
+    if prior_share is not None:
+        least = F.least(least, F.col("top") * TOP_SHARE)  # top is NULL, and left out, where no document of the groups holds an item
+    strong = disclosure(found, prior_share).where((F.col("bits") > 0) & (F.col("bits") >= least)).select("term", "bits")
     each = found.select("key", F.explode("spans").alias("s"))
     exact = each.where("s.kind <> 'name'").select("key", F.col("s.kind").alias("pii_kind"), F.col("s.start").alias("start"), F.col("s.found").alias("found"))
     named = each.where("s.kind = 'name'").select("key", "s.start", "s.found", F.explode("s.terms").alias("term"))
@@ -245,12 +266,12 @@ def sanitise_udf(placeholders: dict[str, str]):
     return F.pandas_udf(run, "string").asNondeterministic()
 
 
-def sanitise(docs: DataFrame, key: str, text: str, group: list[str], kinds: DataFrame) -> DataFrame:
+def sanitise(docs: DataFrame, key: str, text: str, group: list[str], kinds: DataFrame, prior_share: float | None = None) -> DataFrame:
     """(key, text): each document with its items replaced by the placeholders of ``kinds`` (pii_kind, placeholder).
 
     The rest of the text stays as it is; NULL stays NULL. ``kinds`` is the fixed list of kinds, a handful of rows.
     """
     names_of = {r.pii_kind: r.placeholder for r in kinds.select("pii_kind", "placeholder").collect()}
-    items = personal_items(docs, key, text, group).groupBy(key).agg(F.collect_list(F.struct(F.col("pii_kind").alias("kind"), "start", "found")).alias("_items"))
+    items = personal_items(docs, key, text, group, prior_share=prior_share).groupBy(key).agg(F.collect_list(F.struct(F.col("pii_kind").alias("kind"), "start", "found")).alias("_items"))
     one = docs.select(key, text).dropDuplicates([key])
     return one.join(items, key, "left").select(key, sanitise_udf(names_of)(F.col(text), F.col("_items")).alias("text"))

@@ -110,10 +110,10 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p8_found")
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    items = personal_data.personal_items(load(spark, d, "documents"), "doc_id", "text", ["kind", "lang"])
+    items = personal_data.personal_items(load(spark, d, "documents"), "doc_id", "text", ["kind", "lang"], prior_share=personal_data.PRIOR_SHARE)
     return items.select("doc_id", "pii_kind", "found").distinct()
 
 
 @query("p8_text")
 def p8_text(spark: SparkSession, d: str) -> DataFrame:
-    return personal_data.sanitise(load(spark, d, "documents"), "doc_id", "text", ["kind", "lang"], load(spark, d, "pii_kinds"))
+    return personal_data.sanitise(load(spark, d, "documents"), "doc_id", "text", ["kind", "lang"], load(spark, d, "pii_kinds"), personal_data.PRIOR_SHARE)

@@ -234,3 +234,32 @@ def test_sf_items_match_plain_count(spark):
     want |= {(k, "person", t[a:b]) for k, _, t, _, spans in found for a, b, ts in spans if any(bits[x] >= personal_data.LEAST_BITS for x in ts)}
     got = {(r.doc_id, r.pii_kind, r.found) for r in personal_data.personal_items(docs, "doc_id", "text", ["kind", "lang"]).collect()}
     assert got == want and re and pd is not None
+
+
+def people(df, copies=1, **kw):
+    df = df.crossJoin(df.sparkSession.range(copies).withColumnRenamed("id", "copy")).selectExpr("doc_id * 1000 + copy as doc_id", "text", "kind", "lang")
+    rows = personal_data.personal_items(df, "doc_id", "text", ["kind", "lang"], **kw).where("pii_kind = 'person'").collect()
+    return Counter(r.found for r in rows)
+
+
+def test_choice_of_names_does_not_depend_on_size(spark):
+    share = {"prior_share": personal_data.PRIOR_SHARE}
+    # Characters at a sign whose documents hold an item as often as any other; and a learnt term of few documents.
+    texts = [f"la vecina Eva Sol{chr(97 + i)} huyó del mar." + (f" 555 68 77 {i:02d}" if i % 2 else "") for i in range(10)]
+    texts += [f"nada {i}" + (f" 555 68 78 {i:02d}" if i % 2 else "") for i in range(40)] + [f"Responsable Luis Paz{chr(97 + i)}. Tel. 555 68 79 {i:02d}" for i in range(4)]
+    texts += ["Un saludo, Ana Mar", "Un saludo, Ana Mar. 555 68 80 11"]
+    one, ten = people(docs_of(spark, texts), **share), people(docs_of(spark, texts), 10, **share)
+    assert one == {"Ana Mar": 2} and ten == {k: 10 * v for k, v in one.items()}
+    # New texts of the same rates change nothing either.
+    more = [t.replace("Sol", f"Sol{x}").replace("Mar", f"Mar{x}").replace("nada", f"nada {x}") for x in "bcdfghjklm" for t in texts if "Paz" not in t]
+    assert set(people(docs_of(spark, more), **share)) == {f"Ana Mar{x}" for x in "bcdfghjklm"}
+
+
+def test_names_where_most_documents_hold_an_item(spark):
+    """At a base of two thirds no term can reach 0.7 bits, yet one that stands with an item far more often discloses."""
+    word = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    phone = lambda i: f" 555 68 {i // 100:02d} {i % 100:02d}"
+    texts = [f"Un saludo, Ana Mar{word(i)}." + (phone(i) if i % 10 else "") for i in range(400)]
+    texts += [f"nada {i}" + (phone(i + 400) if i % 10 < 5 else "") for i in range(600)]
+    got = people(docs_of(spark, texts), prior_share=personal_data.PRIOR_SHARE)
+    assert len(got) == 400 and got["Ana Mara"] == 1
