@@ -5,9 +5,9 @@ like, and skipping an ignorable character, cost nothing; any other edit costs on
 vocabulary word within the allowed cost (0 here: typos stay) take that canonical spelling; the other words are
 normalised by the table of look-alikes. Words wholly in another script stay.
 
-The vocabulary is a given list of terms and those words of the corpus that occur in at least one of ``1 / floor``
-strings. As a string of the corpus holds a bounded number of words on average, at most ``floor`` times that average can
-pass, whatever the size of the corpus; that bound is checked before the words are sent to the executors.
+The vocabulary is a given list of terms and words of the corpus: those that settle a string in which no word tells the
+script, found by a join of the Latin readings of such strings with all words of the plain strings, however rare; or those
+that occur in at least one of ``1 / floor`` strings. A bound is checked before the words are sent to the executors.
 """
 
 from __future__ import annotations
@@ -122,14 +122,12 @@ def words_of(text: str) -> list[str]:
     return out
 
 
-def plain_form(text: str | None, trie: Trie, budget: int = 0) -> str | None:
-    """The plain form of one string. NULL stays NULL; the empty string stays empty; case, blanks' number and typos stay."""
-    if not text:
-        return text
+def scripts_of(text: str) -> tuple[list[str], list[str]]:
+    """The parts of a string, and of each what tells its script: '' none, 'latin', 'sure' a word of another script, 'maybe' only look-alikes."""
     shown = "".join(x for c in text if not ignorable(c) for x in same_look(c))
     shown = "".join(" " if unicodedata.category(c) == "Zs" else MARKS.get(c, c) for c in shown)
     parts = words_of(unicodedata.normalize("NFD", shown))
-    foreign: list[str] = []  # of each part: '' none, 'sure' a word of another script, 'maybe' only look-alikes
+    foreign: list[str] = []
     for p in parts:
         scripts = {s for c in p if (s := script(c))}
         other = [c for c in p if script(c) in ("CYRILLIC", "GREEK")]
@@ -139,6 +137,20 @@ def plain_form(text: str | None, trie: Trie, budget: int = 0) -> str | None:
             foreign.append("latin" if "LATIN" in scripts else "")
         else:
             foreign.append("maybe")
+    return parts, foreign
+
+
+def lone_readings(text: str | None) -> list[str]:
+    """The Latin readings of the look-alike words of a string in which no other word tells the script."""
+    parts, foreign = scripts_of(text or "")
+    return [] if "latin" in foreign or "sure" in foreign else [to_latin(p) for p, f in zip(parts, foreign, strict=True) if f == "maybe"]
+
+
+def plain_form(text: str | None, trie: Trie, budget: int = 0) -> str | None:
+    """The plain form of one string. NULL stays NULL; the empty string stays empty; case, blanks' number and typos stay."""
+    if not text:
+        return text
+    parts, foreign = scripts_of(text)
     out = []
     for i, p in enumerate(parts):
         if foreign[i] == "latin" and any(c in LOOKS for c in p):
@@ -154,25 +166,43 @@ def plain_form(text: str | None, trie: Trie, budget: int = 0) -> str | None:
     return unicodedata.normalize("NFC", "".join(out))
 
 
+def plain_words(texts: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """The plain strings, and (word, n) of all their words with the number of strings they stand in."""
+    plain = texts.where(F.col(column).isNotNull() & ~F.col(column).rlike(SUSPECT)).select(column)
+    words = plain.select(F.explode(F.array_distinct(F.split(column, r"[^\p{L}\p{M}]+"))).alias("word")).where("word <> ''")
+    return plain, words.groupBy("word").agg(F.count("*").alias("n"))
+
+
+def lone_vocabulary(texts: DataFrame, column: str) -> DataFrame:
+    """(word, n): the words of plain strings, however rare, that a string made only of look-alikes can be read as."""
+
+    @F.pandas_udf("array<string>")
+    def lone(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for strings in batches:
+            yield pd.Series([lone_readings(t) for t in strings], dtype="object")
+
+    asked = texts.where(F.col(column).rlike(SUSPECT)).select(F.explode(lone.asNondeterministic()(F.col(column))).alias("word")).distinct()
+    return plain_words(texts, column)[1].join(asked, "word").select("word", "n")
+
+
 def word_vocabulary(texts: DataFrame, column: str, floor: int = 10_000) -> DataFrame:
     """Words of plain strings that occur in at least one of every ``floor`` strings: (word, n).
 
     Counted over all rows with map-side aggregation; the share makes the size independent of the corpus.
     """
-    plain = texts.where(F.col(column).isNotNull() & ~F.col(column).rlike(SUSPECT)).select(column)
-    words = plain.select(F.explode(F.array_distinct(F.split(column, r"[^\p{L}\p{M}]+"))).alias("word")).where("word <> ''")
+    plain, words = plain_words(texts, column)
     least = plain.agg(F.ceil(F.count("*") / floor).alias("least"))
-    return words.groupBy("word").agg(F.count("*").alias("n")).join(F.broadcast(least), F.col("n") >= F.col("least")).select("word", "n")
+    return words.join(F.broadcast(least), F.col("n") >= F.col("least")).select("word", "n")
 
 
-#: Most words sent to the executors. The share in word_vocabulary keeps far below it; beyond, nothing is sent and the query fails.
+#: Most words sent to the executors; beyond, nothing is sent and the query fails.
 MOST_WORDS = 2_000_000
 
 
 def plain_udf(spark, terms: DataFrame, words: DataFrame | None = None, budget: int = 0):
     """A vectorised function of a string column giving its plain form.
 
-    ``terms``: one string column of known spellings, taken whole; ``words``: (word, n) from :func:`word_vocabulary`.
+    ``terms``: one string column of known spellings, taken whole; ``words``: (word, n) from :func:`lone_vocabulary` or :func:`word_vocabulary`.
     """
     known = [(w, 1) for r in terms.collect() for w in words_of(unicodedata.normalize("NFC", r[0] or "")) if w[:1].isalpha()]
     more = [(r.word, r.n) for r in words.limit(MOST_WORDS + 1).collect()] if words is not None else []

@@ -30,7 +30,7 @@ def query(name: str, sql: str | None = None):
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     titles = load(spark, d, "current_books").select("book_id", "title")
     rows = load(spark, d, "training_rows").select("row_id", "tags")
-    vocabulary = plain_form.word_vocabulary(titles, "title")
+    vocabulary = plain_form.lone_vocabulary(titles, "title")
     known = load(spark, d, "tag_terms").select("canon")
     plain, plain_tag = plain_form.plain_udf(spark, known, vocabulary), plain_form.plain_udf(spark, known)
     tags = split_packed(rows.where(F.col("tags").rlike(plain_form.SUSPECT)), "tags", ["row_id"], "pos", "tag")

@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quire.llm import encode, packing, personal_data, plain_form, term_counts
+from quire.llm.queries import p4_found
 
 EMPTY = plain_form.Trie([])
 
@@ -52,6 +53,16 @@ def test_odd_strings_and_vocabulary(spark):
     assert {tuple(r) for r in plain_form.word_vocabulary(w, "t", 2).collect()} == {("b", 3)}
 
 
+def test_rare_words_settle_lone_words_of_large_tables(spark, tmp_path):
+    """A title of look-alikes only is read by a word of one other title, however many titles there are."""
+    lone = [(1, "соро"), (2, "а\u200bсе 2"), (3, "хор"), (4, "Copo"), (5, "el copo y ace"), (6, None)]
+    titles = spark.createDataFrame(lone, "book_id long, title string").union(spark.range(100, 20_200).selectExpr("id", "'nada'"))
+    titles.write.parquet(f"{tmp_path}/current_books.parquet")
+    spark.createDataFrame([], "row_id long, tags string").write.parquet(f"{tmp_path}/training_rows.parquet")
+    spark.createDataFrame([], "canon string").write.parquet(f"{tmp_path}/tag_terms.parquet")
+    assert {tuple(r) for r in p4_found(spark, str(tmp_path)).collect()} == {("title", 1, "copo"), ("title", 2, "ace 2")}
+
+
 # --- term counts
 
 
