@@ -363,14 +363,16 @@ def link_names(names: DataFrame, column: str = "name", least: int = 4, common: i
     fit = cut(pairs.withColumn("fit", fit_udf()("kind_a", "given_a", "last_a", "kind_b", "given_b", "last_b")).where("fit > 0").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "fit"))
     sure = fit.where("fit = 2").select("a", "b")
     group = cut(components(forms.select("id"), sure))
-    # A spelling with initials only: the largest group of full spellings it fits.
+    # A spelling with initials only, or with a contraction: the largest group of full spellings it fits.
     weight = forms.join(group, "id").groupBy("group").agg(F.sum("uses").alias("weight"))
-    vague = forms.where(F.exists(F.slice("given", 1, 1), lambda g: F.length(g) < 3)).select(F.col("id").alias("v"))
+    # Of two longer given names that fit only so, the shorter is the contraction.
+    size = forms.select("id", F.coalesce(F.length(F.try_element_at("given", F.lit(1))), F.lit(3)).alias("size"))
     weak = fit.where("fit = 1").select("a", "b").union(fit.where("fit = 1").select("b", "a"))
-    choice = weak.join(vague, weak.a == vague.v, "left_semi").join(vague, weak.b == vague.v, "left_anti")
+    weak = weak.join(size.withColumnsRenamed({"id": "a", "size": "sa"}), "a").join(size.withColumnsRenamed({"id": "b", "size": "sb"}), "b")
+    choice = weak.where("sb >= 3 and (sa < 3 or sa < sb)").select("a", "b")
     ranked = choice.join(group, choice.b == group.id).join(weight, "group").groupBy("a").agg(F.max(F.struct("weight", "group", "b")).alias("best"))
     chosen = ranked.select("a", F.col("best.b").alias("b"))
-    both = weak.where("a < b").join(vague, weak.a == vague.v, "left_semi").join(vague, weak.b == vague.v, "left_semi")
+    both = weak.where("a < b and sa < 3 and sb < 3").select("a", "b")
     both = both.join(chosen.select("a"), "a", "left_anti").join(chosen.select(F.col("a").alias("b")), "b", "left_anti").select("a", "b")
     final = components(forms.select("id"), sure.union(chosen).union(both))
     return read.join(final, "id").select("name", "group")

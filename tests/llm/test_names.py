@@ -71,6 +71,12 @@ def test_initials_join_one_group(spark):
     assert name_pairs(df.limit(0)).count() == 0
 
 
+def test_contractions_join_one_group(spark):
+    df = spark.createDataFrame([("Jimena Vazegallo",), ("Jmna Vazegallo",), ("Beatriz Vazegallo",), ("Jmna Perodiz",)], "name string")
+    g = {r.name: r.group for r in link_names(df).collect()}
+    assert g["Jmna Vazegallo"] == g["Jimena Vazegallo"] != g["Beatriz Vazegallo"] and len(set(g.values())) == 3
+
+
 def test_long_and_odd_names(spark):
     df = spark.createDataFrame([("x" * 50_000,), ("…",), ("(Author)",), ("García " * 3_000,), ("Ана Иванова",)], "name string")
     assert link_names(df).count() == 4  # a string without letters is no name
