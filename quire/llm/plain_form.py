@@ -199,8 +199,8 @@ def word_vocabulary(texts: DataFrame, column: str, floor: int = 10_000) -> DataF
 MOST_WORDS = 2_000_000
 
 
-def plain_udf(spark, terms: DataFrame, words: DataFrame | None = None, budget: int = 0):
-    """A vectorised function of a string column giving its plain form.
+def plain_udf(spark, terms: DataFrame, words: DataFrame | None = None, budget: int = 0, many: bool = False):
+    """A vectorised function of a string column giving its plain form; with ``many``, of an array column, string by string.
 
     ``terms``: one string column of known spellings, taken whole; ``words``: (word, n) from :func:`lone_vocabulary` or :func:`word_vocabulary`.
     """
@@ -210,11 +210,14 @@ def plain_udf(spark, terms: DataFrame, words: DataFrame | None = None, budget: i
         raise ValueError("the vocabulary is larger than its bound")
     vocabulary = spark.sparkContext.broadcast(known + more)
 
-    @F.pandas_udf("string")
+    @F.pandas_udf("array<string>" if many else "string")
     def plain(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         trie = Trie(vocabulary.value)
         for texts in batches:
-            yield pd.Series([plain_form(t, trie, budget) for t in texts], dtype="object")
+            if many:
+                yield pd.Series([None if ts is None else [plain_form(t, trie, budget) for t in ts] for ts in texts], dtype="object")
+            else:
+                yield pd.Series([plain_form(t, trie, budget) for t in texts], dtype="object")
 
     return plain.asNondeterministic()  # evaluated once where it stands: not moved into generators, not doubled
 

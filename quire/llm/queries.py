@@ -42,17 +42,17 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p5_found")
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     rows = load(spark, d, "training_rows").select("row_id", "tags", "comments")
-    plain = plain_form.plain_udf(spark, load(spark, d, "tag_terms").select("canon"))
+    plain = plain_form.plain_udf(spark, load(spark, d, "tag_terms").select("canon"), many=True)
 
     def terms(changed: DataFrame) -> DataFrame:
         def named(field: str, values):
             return F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.struct(F.lit(field).alias("field"), v.alias("term")))
 
-        # All tags of a record pass through Python as one joined string; the joint cannot occur in a tag.
-        joint = "\n"
-        changed = changed.withColumn("_tags", F.array_join(packed_values(F.col("tags")), joint))
-        changed = changed.withColumns({"_tags": plain_form.plain_column(F.col("_tags"), plain), "_words": classifier_text("comments")})
-        tags = F.split("_tags", joint)
+        # Each tag on its own, as in p4_found: a tag may hold any character, and its neighbours tell nothing of its script.
+        changed = changed.withColumn("_tags", packed_values(F.col("tags")))
+        odd = F.exists("_tags", lambda t: t.rlike(plain_form.SUSPECT))
+        changed = changed.withColumns({"_plain": plain(F.when(odd, F.col("_tags"))), "_words": classifier_text("comments")})
+        tags = F.coalesce("_plain", "_tags")
         words = F.filter(F.split("_words", " "), lambda w: w.rlike("[a-z0-9]"))
         return changed.withColumn("_terms", F.concat(named("tags", F.filter(tags, lambda t: t != "")), named("comments", words)))
 

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quire.llm import encode, packing, personal_data, plain_form, term_counts
-from quire.llm.queries import p4_found
+from quire.llm.queries import p4_found, p5_found
 
 EMPTY = plain_form.Trie([])
 
@@ -107,6 +107,15 @@ def test_marks(spark):
     assert {tuple(r) for r in term_counts.marks(c, 10).collect()} == {("f", "a", "rare"), ("f", "c", "common")}
 
 
+def test_tags_are_counted_one_by_one(spark, tmp_path):
+    """A quoted tag may hold a line break, and the script of a tag does not depend on the tags beside it."""
+    rows = [(1, '"dos\nlineas",mar', None), (2, "хор,mar", None), (3, None, None), (4, "mаr", "")]
+    spark.createDataFrame(rows, "row_id long, tags string, comments string").write.parquet(f"{tmp_path}/training_rows.parquet")
+    spark.createDataFrame([], "canon string").write.parquet(f"{tmp_path}/tag_terms.parquet")
+    got = {r.term for r in p5_found(spark, str(tmp_path)).collect()}
+    assert got == {"dos\nlineas", "mar", "хор"}
+
+
 # --- encoding
 
 
