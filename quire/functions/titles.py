@@ -32,7 +32,7 @@ def pair_title(title: Column) -> Column:
     t = collapse(F.regexp_replace(t, NOT_WORD_OR_BLANK, " "))
     words = F.split(t, " ")
     first = words[0]
-    return F.when((F.size(words) > 1) & first.isin(*ARTICLES), F.array_join(F.slice(words, 2, 100_000), " ")).otherwise(t)
+    return F.when((F.size(words) > 1) & first.isin(*ARTICLES), F.array_join(F.slice(words, F.lit(2), F.size(words)), " ")).otherwise(t)
 
 
 def author_sets(authors: Column) -> Column:

@@ -132,7 +132,7 @@ def query_variants(title: Column, authors: Column) -> Column:
     words = F.split(F.coalesce(F.get(cores, F.lit(0)), F.lit("")), " ")
     first = F.coalesce(F.get(names, F.lit(0)), F.lit(""))
     short = F.flatten(F.transform(F.filter(F.array(F.lit(4), F.lit(3), F.lit(2)), lambda k: F.size(words) > k), lambda k: F.array(F.trim(F.concat_ws(" ", F.array_join(F.slice(words, F.lit(1), k), " "), first)), F.array_join(F.slice(words, F.lit(1), k), " "))))
-    others = F.flatten(F.transform(F.slice(names, 2, 1_000), with_))
+    others = F.flatten(F.transform(F.slice(names, F.lit(2), F.size(names)), with_))
     return F.array_distinct(F.filter(F.concat(with_(first), cores, others, short), lambda x: x != ""))
 
 

@@ -185,3 +185,10 @@ def test_statistics(spark):
     assert u[1].author_libraries == ["Y"] and u[1].author_total == 5 and u[1].duplicates == ["Y"] and u[2].duplicates == []
     text = {r.book_id: r.duplicates for r in stats.library_updates(b, stats.book_authors(b), "X", True).collect()}
     assert text == {1: "1: Y", 2: ""} and stats.library_updates(b, stats.book_authors(b), "Z").count() == 0
+
+
+def test_very_long_titles_are_whole(spark):
+    from quire.functions.titles import pair_title
+
+    df = spark.range(1).selectExpr("concat('The ', repeat('w ', 100001), 'end') as t")
+    assert df.select(pair_title(F.col("t")).alias("p")).where("p like '% end'").count() == 1
