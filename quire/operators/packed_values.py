@@ -18,17 +18,19 @@ OPEN, SHUT = "", ""
 #: Delimiters between values. A slash separates only between blanks, other marks always.
 DELIMITERS = r"[,;|\t\r\n•、，；]|(?<=\s)/(?=\s)"
 
-#: Quotes that can wrap a value, each as (opening, body, closing); the body may hold delimiters.
+#: Quotes that can wrap a value, each as opening, body, closing; the body may hold delimiters. The loops are possessive:
+#: what may follow is decided by the next character alone, so nothing is given back, and the JVM neither recurses nor
+#: remembers a state per character, however long a value is.
 QUOTED = (
-    r'"(?:[^"\\]|\\.|"")*"',
-    r"'(?:[^'\\]|\\.|'(?!\s*(?:$|" + DELIMITERS + r")))*'",
+    r'"(?:[^"\\]++|\\.|"")*+"',
+    r"'(?:[^'\\]++|\\.|'(?!\s*(?:$|" + DELIMITERS + r")))*+'",
     r"«[^»]*»",
     r"“[^”]*”",
     r"‘[^’]*’",
 )
 
 _SPAN = rf"(?sU)(^|{DELIMITERS})(\s*)({'|'.join(QUOTED)})(?=\s*(?:$|{DELIMITERS}))"
-_BLANKS = r"(?U)^\s+|\s+$"
+_BLANKS = r"(?U)^\s++|(?<!\s)\s++$"
 
 
 def _let(value: Column, body) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.operators.packed_values import split_packed
-from quire.session import load
+from quire.session import load, one_row
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
 
 @query("p2_found")
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = load(spark, d, "training_rows").select("row_id", "tags").where("tags is not null").dropDuplicates(["row_id"])
+    rows = one_row(load(spark, d, "training_rows").select("row_id", "tags").where("tags is not null"), "row_id")
     return split_packed(rows, "tags", ["row_id"], "pos", "tag")
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "quire", master: str | None = None, **conf: str) -> SparkSession:
@@ -22,6 +24,7 @@ def build_session(app: str = "quire", master: str | None = None, **conf: str) ->
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",  # checkpoints go when nothing refers to them any more
     }
     for k, v in (base | conf).items():
         b = b.config(k, v)
@@ -37,7 +40,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not d:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        d = os.environ.setdefault("QUIRE_LOCAL_CHECKPOINTS", tempfile.mkdtemp(prefix="quire-ckpt-"))
+        d = os.environ.get("QUIRE_LOCAL_CHECKPOINTS")
+        if not d:
+            d = os.environ["QUIRE_LOCAL_CHECKPOINTS"] = tempfile.mkdtemp(prefix="quire-ckpt-")
+            atexit.register(shutil.rmtree, d, ignore_errors=True)
     return d
 
 
@@ -58,13 +64,42 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId not in _shipped:
         _shipped.add(sc.applicationId)
         home = Path(__file__).resolve().parent
-        with tempfile.TemporaryDirectory() as tmp:
-            shutil.copytree(home, f"{tmp}/in/{home.name}", ignore=shutil.ignore_patterns("__pycache__"))
-            made = shutil.make_archive(f"{tempfile.mkdtemp(prefix='quire-')}/{home.name}", "zip", f"{tmp}/in")
-        sc.addPyFile(made)
+        tmp = tempfile.mkdtemp(prefix="quire-")  # the driver serves the archive from here as long as it lives
+        atexit.register(shutil.rmtree, tmp, ignore_errors=True)
+        shutil.copytree(home, f"{tmp}/in/{home.name}", ignore=shutil.ignore_patterns("__pycache__"))
+        sc.addPyFile(shutil.make_archive(f"{tmp}/{home.name}", "zip", f"{tmp}/in"))
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table."""
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Most keys that stand in several rows which :func:`one_row` sends to the executors; beyond, all rows are shuffled.
+MOST_REPEATED = 200_000
+
+
+def one_row(df: DataFrame, key: str, most: int = MOST_REPEATED) -> DataFrame:
+    """One row of every key; of unequal rows of a key the greatest. NULL is a key like any other.
+
+    Only keys are shuffled to learn which stand in several rows. Rows of other keys pass where they are; if the repeated
+    keys are few (counted first, at most ``most``), only their rows are shuffled, otherwise all.
+    """
+    rest = [c for c in df.columns if c != key]
+
+    def greatest(rows: DataFrame) -> DataFrame:
+        if not rest:
+            return rows.distinct()
+        return rows.groupBy(F.col(f"`{key}`")).agg(F.max(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("_r")).select(F.col(f"`{key}`"), "_r.*").select(df.columns)
+
+    repeated = df.groupBy(F.col(f"`{key}`").alias("_k")).agg(F.count("*").alias("n")).where("n > 1").select("_k")
+    found = repeated.limit(most + 1).collect()
+    if not found:
+        return df
+    if len(found) > most or len(rest) == 0:
+        return greatest(df)
+    spark = df.sparkSession
+    several = F.broadcast(spark.createDataFrame(found, repeated.schema))
+    same = F.col(f"`{key}`").eqNullSafe(F.col("_k"))
+    return df.join(several, same, "left_anti").unionByName(greatest(df.join(several, same, "left_semi")))

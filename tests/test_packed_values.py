@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quire.operators.packed_values import packed_values, split_packed
+from quire.session import one_row
 
 DELIMS = set(",;|\t\r\n•、，；")
 PAIRS = {'"': '"', "'": "'", "«": "»", "“": "”", "‘": "’"}
@@ -99,6 +100,31 @@ def test_against_brute_force(spark, texts):
     assert run(spark, texts) == [brute(t) for t in texts]
 
 
+def test_long_values(spark):
+    """No value is too long for the JVM's stack: runs, escapes, doubled quotes, apostrophes and blanks."""
+    n = 100_000
+    texts = [
+        '"' + "a, " * (n * 10 // 3) + '",b', '"' + '\\"' * n + '",b', '"' + '""' * n + '",b', "'" + "it's " * n + "',b", "'" + "\\'" * n + "',b",
+        "«" + "a," * n + "»,b", "a" + " " * (n * 10) + "b,c", "x," * n + '"y,z"',
+    ]
+    got = run(spark, texts)
+    assert got[0] == [("a, " * (n * 10 // 3)).strip(), "b"]
+    assert got[1] == ['"' * n, "b"] and got[2] == ['"' * n, "b"]
+    assert got[3] == [("it's " * n).strip(), "b"] and got[4] == ["'" * n, "b"]
+    assert got[5] == ["a," * n, "b"]
+    assert got[6] == [texts[6][:-2], "c"] and got[7] == ["x"] * n + ["y,z"]
+
+
+def test_one_row(spark):
+    """Rows of a repeated key are reduced to the greatest, with and without the small set of repeated keys."""
+    df = spark.createDataFrame([(1, "a", None), (2, "b", 1), (2, "c", 0), (2, "c", 0), (None, "d", 1), (None, None, 2), (3, "e", 5)], "k int, t string, v int")
+    want = [(None, "d", 1), (1, "a", None), (2, "c", 0), (3, "e", 5)]
+    for most in (0, 1, 10):
+        assert sorted(map(tuple, one_row(df, "k", most).collect()), key=lambda r: (r[0] is not None, r[0] or 0)) == want
+    assert one_row(df.limit(0), "k").count() == 0
+    assert sorted(r.k or 0 for r in one_row(df.select("k"), "k").collect()) == [0, 1, 2, 3]
+
+
 def test_rows_and_clashes(spark):
     df = spark.createDataFrame([(1, "a;b", "x"), (1, "a;b", "x"), (2, None, "y")], "row_id int, tags string, value string")
     rows = split_packed(df, "tags", ["row_id"]).collect()
