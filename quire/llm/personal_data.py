@@ -2,30 +2,32 @@
 
 Method: information-theoretic sanitisation. Addresses of mail and street, phone and identity numbers have a grammar and
 are found by it; they are the protected entities. Names have none, and most names in these texts are of characters and
-authors. What a term around a name reveals is estimated from the whole corpus: the disclosure of a context term is the
-pointwise mutual information, in bits, between the term standing at a name and a protected entity standing in the same
-document, against what is expected from the document's kind alone. Names at terms whose disclosure exceeds a threshold
-are taken as personal and replaced by a placeholder; other terms stay, so the text remains readable.
-
-Terms of address and signature that are personal in themselves get a prior. The queries weigh it as PRIOR_SHARE of the
-corpus, so that it decides on terms that are rare in the corpus and the corpus on the others, whatever its size, and count
-a repeated text once; without a share it counts as PRIOR_DOCS documents. Where nearly all documents of a kind hold a
-protected entity no term can disclose much, so the threshold falls with the greatest disclosure possible. Counts cover all
-documents, are aggregated before they are shuffled, and the terms are joined to the spans by key: nothing of the corpus is
-gathered on the driver.
+authors. What a term around a name reveals is estimated from the whole corpus, without any list of such terms: of the
+texts in which the term stands at a name, how many hold another protected entity, against how many would if only the
+kind of document told. The disclosure of a term has two figures: ``gain``, the part of the possible increase of that
+probability which the term brings, and ``bits``, the information against the base rate over all its texts, which tells
+whether the counts bear it. Terms beyond both thresholds disclose; a name at such a term is personal and replaced by a
+placeholder, other names stay, so the text remains readable. Names so found are protected entities themselves: a second
+round estimates again with them, which carries the evidence to terms that seldom stand beside numbers.
+
+A repeated text counts once. The threshold in bits grows with the logarithm of the number of terms, so that the number
+of terms taken by chance has one bound for corpora of every size. Counts cover all documents, are aggregated before they
+are shuffled, and terms are joined to the spans by key: nothing of the corpus is gathered on the driver.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from math import log2
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.session import cut
+from quire.session import cut, one_row
 
 STRUCTURED = ("email", "phone", "id", "address")
 KINDS = (*STRUCTURED, "person")
@@ -74,29 +76,21 @@ _TITLES = r"(?:(?:Mr|Mrs|Ms|Dr|Dra|Sr|Sra|Srta|Prof|Mme|Mlle|Dña)\.|D\.ª|Dª|D
 _NAME_LINK = r"(?:de la|de los|de las|del|de|von|van|da|do|dos)"
 _INITIAL = rf"{_UP}\."
 _FIRST = rf"(?:{_WORD}|{_INITIAL})"
-_NAME = rf"(?:{_NAME_LINK} )?{_FIRST}(?: (?:{_NAME_LINK} )?{_FIRST}){{0,4}}"
+_NAME = rf"(?:{_NAME_LINK} )?{_FIRST}(?: (?:{_NAME_LINK} )?{_FIRST})*"
 #: Closing words that stand before a signature, with a comma.
 _CLOSINGS = "Atentamente|Best|Cheers|Cordialement|Cumprimentos|Gracias|Merci|Obrigada|Obrigado|Regards|Saludos|Sincerely|Thanks|Yours"
 SPAN = re.compile(rf"(?<![\w«\"“'’-])(?!(?:{_CLOSINGS}),)({_TITLES})?({_NAME})((?:, {_FIRST}(?: {_FIRST}){{0,2}})?)")
 
-# Terms at a name that address, sign for or introduce a person (a prior, not a rule); # is a number.
-SIGNS = {
-    "l:" + t
-    for t in (
-        "titular: holder: socio: socia: member: firmado: att.: attn: cordialement, cumprimentos, m'appelle llamo chamo-me donante, donor, saludos, regards, atentamente, thanks, gracias, obrigado, merci, signed, "
-        "firma: nombre: name: nom: nome: contacto: contact: remite: remitente: paciente: client: cliente: sincerely, atte., vecina vecino neighbour neighbor voisin voisine vizinho vizinha"
-    ).split()
-} | {
-    "l2:" + t
-    for t in (
-        "un saludo,", "best wishes,", "kind regards,", "mi vecina", "mi vecino", "my neighbour", "me llamo", "name is", "prestado a", "loan to", "entregar a", "deliver to", "por:", "enviada por", "in by",
-        "pregunten por", "ask for", "opened by", "la abrió", "n.º #:", "no. #:", "el donante,", "la donante,", "the donor,", "the neighbour,",
-    )
-} | {"r:<[email]>", "r:/[phone]", "r:;[id]", "r:,[phone]", "r:,[address]"}
-#: Documents with a protected entity by which every estimate is drawn to its prior; the prior of SIGNS in bits; the threshold.
-PRIOR_DOCS, PRIOR_BITS, LEAST_BITS = 10, 2.0, 0.7
-#: The weight of the prior of SIGNS as a share of the distinct texts; the share of the greatest possible bits that suffices.
-PRIOR_SHARE, TOP_SHARE = 0.003, 0.4
+#: A term discloses if it brings this part of the possible increase ...
+LEAST_GAIN = 0.25
+#: ... and its bits exceed the logarithm of the number of terms by this: at most eight terms are then due to chance.
+SURPLUS_BITS = -3.0
+#: Fewest bits, however few terms there are.
+LEAST_BITS = 6.0
+#: Estimates: the first from items with a grammar, each further one with the names of the one before.
+ROUNDS = 2
+#: A word that begins so many disclosed names is a name by itself.
+LEAST_NAMES = 3
 #: Words that open a sentence with a capital and are no name.
 _OPENERS = set(
     "A Al An And Aquel Aquella As At Bajo Before Beneath Beside Between By Cada Con Cuando De Desde Durante El Ella En Entre Em Esa Ese Esta Este For From He Her His I I'd I'm I've If In It La Las Le Les Lo Los Mi Mon My Na "
@@ -116,65 +110,78 @@ def structured(text: str) -> list[tuple[int, int, str]]:
     return sorted(found)
 
 
-def context(before: str, after: str) -> list[str]:
+def tokens(text: str, at: int, count: int, after: bool) -> list[str]:
+    """The ``count`` tokens next to a position, in order, in lower case with numbers as #; read in growing windows, so none is cut."""
+    size = 64
+    while True:
+        part = text[at : at + size].replace("&lt;", "<") if after else text[max(0, at - size) : at]
+        found = _TOKEN.findall(part)
+        if len(found) > count or (at + size >= len(text) if after else size >= at):  # one more than asked: only the outermost can be cut
+            chosen = found[:count] if after else found[-count:]
+            return [re.sub(r"\d[\d.]*", "#", t.lower()) for t in chosen]
+        size *= 4
+
+
+def context(text: str, start: int, end: int) -> list[str]:
     """The terms around a name: the one or two before it, and what follows it.
 
-    A term does not reach over the end of a sentence or, but for a colon or comma, of a line. A structured item beside
-    the name is a term only if it is one of SIGNS: as evidence for others it would prove itself.
+    A term does not reach over the end of a sentence or, but for a colon or comma, of a line.
     """
-    left = [re.sub(r"\d[\d.]*", "#", t.lower()) for t in _TOKEN.findall(before[-60:])][-2:]
-    right = [re.sub(r"\d[\d.]*", "#", t.lower()) for t in _TOKEN.findall(after[:40].replace("&lt;", "<"))][:3]
+    left, right = tokens(text, start, 2, False), tokens(text, end, 3, True)
     terms = []
     ends = not left or left[-1][-1] in ".!?…»”\")]" and left[-1] not in ("n.º", "no.", "d.ª")
-    if not ends and ("\n" not in before[len(before.rstrip()) :] or left[-1][-1] in ",:"):
+    gap = start
+    while gap and text[gap - 1].isspace():
+        gap -= 1
+    if not ends and ("\n" not in text[gap:start] or left[-1][-1] in ",:"):
         terms += ["l:" + left[-1], "l2:" + " ".join(left)]
     if right and right[0][0] not in ".!?…»”\")":
-        terms.append("r:" + "".join(right[:3] if right[0] == "<" else right[:2]))
-    return [t for t in terms if "[" not in t or t in SIGNS]
+        terms.append("r:" + "".join(right[: 3 if right[0] == "<" else 1 if right[0][-1] in ".!?…" else 2]))
+    return terms
 
 
-def names(text: str, items: list[tuple[int, int, str]]) -> list[tuple[int, int, list[str]]]:
-    """(start, end, terms) of the name-like spans outside the structured items."""
-    masked, at, shift = "", 0, []
+def names(text: str, items: list[tuple[int, int, str]]) -> list[tuple[int, int, list[str], bool]]:
+    """(start, end, terms, lone) of the name-like spans outside the structured items; ``lone`` is one word within a sentence."""
+    pieces, at, size, shift = [], 0, 0, []
     for a, b, kind in items:
-        masked += text[at:a]
-        shift.append((len(masked), len(masked) + len(kind) + 2, b))
-        masked += f"[{kind}]"
+        pieces += [text[at:a], f"[{kind}]"]
+        size += a - at + len(kind) + 2
+        shift.append((size, b - size))
         at = b
-    masked += text[at:]
+    masked = "".join([*pieces, text[at:]])
 
     def back(pos: int) -> int:
-        d = 0
-        for _, end, orig in shift:
-            if end <= pos:
-                d = orig - end
-        return pos + d
+        n = bisect_right(shift, (pos, len(text)))
+        return pos + (shift[n - 1][1] if n else 0)
 
     out = []
     for m in SPAN.finditer(masked):
         name, rest = m[2], m[3]
         lead = 0
-        while (first := re.match(r"\S+ ", name[lead:])) and first[0][:-1] in _OPENERS:
-            lead += first.end()
-        if lead:
-            name, rest = name[lead:], rest
-        one = name.count(" ") == 0
-        words = re.findall(rf"{_WORD}|{_INITIAL}", name)
+        while (first := _HEAD.match(name, lead)) and first[0][:-1] in _OPENERS:
+            lead = first.end()
+        name = name[lead:]
+        one = " " not in name
+        start, end = m.start(2) + lead, m.end(2)
         # Surname, given name. A word of its own after the comma would start with a small letter or be a masked item.
-        inverted = bool(rest) and (one or not any(w.endswith(".") for w in words))
-        end = m.end(3) if inverted and len(name.split()) <= 4 else m.end(2)
-        if one and end == m.end(2):
-            continue  # one word alone
-        start = m.start(2) + lead
-        out.append((back(start), back(end - 1) + 1, context(masked[: start if lead else m.start()], masked[end:])))
+        if rest and name.count(" ") < 4 and (one or not any(w.endswith(".") for w in _PART.findall(name))):
+            end = m.end(3)
+        lone = one and end == m.end(2)
+        if lone and (name.isupper() or name in _OPENERS):
+            continue
+        terms = context(masked, start if lead else m.start(), end)
+        if not lone or terms and terms[0][0] == "l":
+            out.append((back(start), back(end - 1) + 1, terms, lone))
     return out
 
 
+_HEAD, _PART = re.compile(r"\S+ "), re.compile(rf"{_WORD}|{_INITIAL}")
+
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("found", T.StringType()), T.StructField("terms", T.ArrayType(T.StringType()))]))
 
 
 def spans_udf():
-    """Vectorised search: the structured items and the name-like spans (kind ``name``) of each text."""
+    """Vectorised search: the structured items and the name-like spans (kind ``name``, of one word ``word``) of each text."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
@@ -182,7 +189,7 @@ def spans_udf():
             for text in b:
                 items = structured(text) if text else []
                 rows = [{"kind": k, "start": s, "found": text[s:e], "terms": []} for s, e, k in items]
-                rows += [{"kind": "name", "start": s, "found": text[s:e], "terms": t} for s, e, t in (names(text, items) if text else [])]
+                rows += [{"kind": "word" if lone else "name", "start": s, "found": text[s:e], "terms": t} for s, e, t, lone in (names(text, items) if text else [])]
                 out.append(rows)
             yield pd.Series(out, dtype="object")
 
@@ -190,55 +197,66 @@ def spans_udf():
 
 
 def spans(docs: DataFrame, key: str, text: str, group: list[str]) -> DataFrame:
-    """(key, group, whole, has, n, spans): one row per document; ``has`` tells whether it holds a structured item, ``whole`` is a hash of its text."""
-    found = docs.select(F.col(key).alias("key"), F.concat_ws("/", *[F.coalesce(F.col(g), F.lit("")) for g in group]).alias("group"), F.xxhash64(text).alias("whole"), spans_udf()(F.col(text)).alias("spans"))
-    has = F.exists("spans", lambda s: s["kind"] != "name")
-    return found.select("key", "group", "whole", has.alias("has"), F.size("spans").alias("n"), "spans")
+    """(key, group, whole, spans): one row per document; ``whole`` is a hash of its text."""
+    kind = F.concat_ws("/", *[F.coalesce(F.col(g).cast("string"), F.lit("")) for g in group])
+    return docs.select(F.col(key).alias("key"), kind.alias("group"), F.xxhash64(text).alias("whole"), spans_udf()(F.col(text)).alias("spans"))
 
 
-def disclosure(found: DataFrame, prior_share: float | None = None) -> DataFrame:
-    """(term, seen, due, docs, bits, top): how strongly each term at a name reveals a protected entity, over all documents.
+def disclosure(found: DataFrame) -> DataFrame:
+    """(term, docs, seen, due, gain, bits): how strongly each term at a name reveals another protected entity, over all texts.
 
-    ``seen`` counts the term's documents that hold a protected entity, ``due`` how many would if only the group told,
-    ``top`` the bits if all did. With ``prior_share`` the texts of a group are counted once each, and the prior of SIGNS
-    weighs that share of them; other terms are drawn to the base rate by PRIOR_DOCS in either case.
+    ``found`` is that of :func:`spans`, with ``own`` (starts of the names known to be personal, or NULL). ``docs`` counts
+    the term's texts, ``seen`` those that hold a protected entity besides the name and the term, ``due`` how many would
+    if only the group told. An item within the term itself is no evidence for it.
     """
-    each = found.select("group", "whole", "has", F.array_distinct(F.flatten(F.transform("spans", lambda s: s["terms"]))).alias("terms"))
-    if prior_share is not None:
-        each = each.dropDuplicates(["group", "whole"])
-    base = each.groupBy("group").agg(F.avg(F.col("has").cast("int")).alias("base"), F.count("*").alias("n"))
-    terms = each.select("group", "has", F.explode("terms").alias("term"))
-    by = terms.groupBy("term", "group").agg(F.sum(F.col("has").cast("int")).alias("seen"), F.count("*").alias("docs"))
-    by = by.join(base.drop("n"), "group").groupBy("term").agg(F.sum("seen").alias("seen"), F.sum(F.col("docs") * F.col("base")).alias("due"), F.sum("docs").alias("docs"))
-    sign = F.col("term").isin(*sorted(SIGNS))
-    weight = F.lit(float(PRIOR_DOCS))
-    if prior_share is not None:
-        by = by.crossJoin(F.broadcast(base.agg(F.sum("n").alias("all"))))  # one row
-        weight = F.when(sign, F.col("all") * prior_share).otherwise(weight)
-    bits = F.log2((F.col("seen") + weight * F.when(sign, F.lit(2.0**PRIOR_BITS)).otherwise(F.lit(1.0))) / (F.col("due") + weight))
-    top = F.when(F.col("due") > 0, F.log2(F.col("docs") / F.col("due")))
-    return by.select("term", "seen", "due", "docs", bits.alias("bits"), top.alias("top"))
-
-
-def personal_items(docs: DataFrame, key: str, text: str, group: list[str], least_bits: float = LEAST_BITS, prior_share: float | None = None) -> DataFrame:
+    exact = F.size(F.filter("spans", lambda s: ~s["kind"].isin("name", "word")))
+    own = F.coalesce("own", F.array().cast("array<int>"))
+    each = found.select("group", "whole", F.filter("spans", lambda s: s["kind"] == "name").alias("names"), own.alias("own"), (exact + F.size(own)).alias("n")).dropDuplicates(["group", "whole"])
+
+    def other(s, t):
+        return F.col("n") - F.array_contains("own", s["start"]).cast("int") - F.contains(t, F.lit("[")).cast("int") > 0
+
+    def flagged(values, flag: int):
+        return F.transform(F.array_distinct(F.flatten(values)), lambda t: F.struct(t.alias("term"), F.lit(flag).alias("flag")))
+
+    every = flagged(F.transform("names", lambda s: s["terms"]), 0)
+    beside = flagged(F.transform("names", lambda s: F.filter(s["terms"], lambda t: other(s, t))), 1)
+    base = each.groupBy("group").agg(F.avg((F.col("n") > 0).cast("int")).alias("base"))
+    by = each.select("group", F.inline(F.concat(every, beside))).groupBy("term", "group").agg(F.sum("flag").alias("seen"), F.sum(1 - F.col("flag")).alias("docs"))
+    by = by.join(base, "group").groupBy("term").agg(F.sum("seen").alias("seen"), F.sum(F.col("docs") * F.col("base")).alias("due"), F.sum("docs").alias("docs"))
+    p, q = F.col("due") / F.col("docs"), (F.col("seen") + F.col("due") / F.col("docs")) / (F.col("docs") + 1)
+    by = by.withColumns({"p": p, "q": q}).where("p > 0 and q > p and q < 1")
+    bits = F.col("seen") * F.log2(F.expr("q / p")) + (F.col("docs") - F.col("seen")) * F.log2(F.expr("(1 - q) / (1 - p)"))
+    return by.select("term", "docs", "seen", "due", F.expr("(q - p) / (1 - p)").alias("gain"), bits.alias("bits"))
+
+
+def personal_items(docs: DataFrame, key: str, text: str, group: list[str], least_gain: float = LEAST_GAIN, surplus: float = SURPLUS_BITS, rounds: int = ROUNDS) -> DataFrame:
     """(key, pii_kind, start, found): every item as it stands, with its offset in code points.
 
     ``group``: columns of the document's kind. NULL and empty texts give no rows; repeated rows of a key count
-    once; an empty table gives no rows. Whole texts are read, whatever their length. With ``prior_share`` the choice of
-    names does not depend on how often the corpus repeats itself, and a term also counts if it reaches TOP_SHARE of the
-    bits that its groups allow.
+    once; an empty table gives no rows. Whole texts are read, whatever their length. The choice of names does not depend
+    on how often the corpus repeats a text; a corpus too small to bear an estimate gives no names. A single word is a
+    name if it begins LEAST_NAMES different disclosed names, and the two words before it and what follows, if anything, disclose.
     """
-    one = docs.select(key, text, *group).dropDuplicates([key])
-    found = cut(spans(one, key, text, group))
-    least = F.lit(least_bits)
-    if prior_share is not None:
-        least = F.least(least, F.col("top") * TOP_SHARE)  # top is NULL, and left out, where no document of the groups holds an item
-    strong = disclosure(found, prior_share).where((F.col("bits") > 0) & (F.col("bits") >= least)).select("term", "bits")
-    each = found.select("key", F.explode("spans").alias("s"))
-    exact = each.where("s.kind <> 'name'").select("key", F.col("s.kind").alias("pii_kind"), F.col("s.start").alias("start"), F.col("s.found").alias("found"))
-    named = each.where("s.kind = 'name'").select("key", "s.start", "s.found", F.explode("s.terms").alias("term"))
-    person = named.join(strong, "term", "left_semi").select("key", F.lit("person").alias("pii_kind"), "start", "found").distinct()
-    return exact.unionByName(person).withColumnRenamed("key", key)
+    one = one_row(docs.select(key, text, *group), key)
+    found = cut(spans(one, key, text, group)).withColumn("own", F.lit(None).cast("array<int>"))
+    each = found.select("key", F.explode("spans").alias("s")).select("key", "s.*")
+    at = each.where("kind in ('name', 'word')").select("key", "kind", "start", "found", F.explode("terms").alias("term"))
+    names_at = at.where("kind = 'name'")
+    for k in range(rounds):
+        told = cut(disclosure(found))
+        terms = found.select(F.explode("spans").alias("s")).where("s.kind = 'name'").select(F.explode("s.terms").alias("term")).distinct().count() if not k else terms
+        strong = told.where((F.col("gain") >= least_gain) & (F.col("bits") >= max(LEAST_BITS, log2(max(terms, 1)) + surplus))).select("term")
+        person = cut(names_at.join(strong, "term", "left_semi").select("key", "start", "found").distinct())
+        if k + 1 < rounds:
+            found = found.drop("own").join(person.groupBy("key").agg(F.collect_list("start").alias("own")), "key", "left")
+    head = F.regexp_extract("found", r"^([^\s,.]+) [^,]*$", 1)
+    first = person.select(head.alias("word"), "found").where("word <> ''").distinct().groupBy("word").count().where(F.col("count") >= LEAST_NAMES).select("word")
+    around = at.where("kind = 'word' and term not like 'l:%'").join(strong.withColumn("told", F.lit(1)), "term", "left")
+    around = around.groupBy("key", "start", "found").agg(F.min(F.coalesce("told", F.lit(0))).alias("told"), F.max(F.col("term").like("l2:%").cast("int")).alias("led"))
+    lone = around.where("told = 1 and led = 1").join(first, F.col("found") == F.col("word"), "left_semi").select("key", "start", "found")
+    exact = each.where("kind not in ('name', 'word')").select("key", F.col("kind").alias("pii_kind"), "start", "found")
+    return exact.unionByName(person.unionByName(lone).withColumn("pii_kind", F.lit("person"))).withColumnRenamed("key", key)
 
 
 def sanitise_udf(placeholders: dict[str, str]):
@@ -266,12 +284,12 @@ def sanitise_udf(placeholders: dict[str, str]):
     return F.pandas_udf(run, "string").asNondeterministic()
 
 
-def sanitise(docs: DataFrame, key: str, text: str, group: list[str], kinds: DataFrame, prior_share: float | None = None) -> DataFrame:
+def sanitise(docs: DataFrame, key: str, text: str, group: list[str], kinds: DataFrame) -> DataFrame:
     """(key, text): each document with its items replaced by the placeholders of ``kinds`` (pii_kind, placeholder).
 
     The rest of the text stays as it is; NULL stays NULL. ``kinds`` is the fixed list of kinds, a handful of rows.
     """
     names_of = {r.pii_kind: r.placeholder for r in kinds.select("pii_kind", "placeholder").collect()}
-    items = personal_items(docs, key, text, group, prior_share=prior_share).groupBy(key).agg(F.collect_list(F.struct(F.col("pii_kind").alias("kind"), "start", "found")).alias("_items"))
-    one = docs.select(key, text).dropDuplicates([key])
+    items = personal_items(docs, key, text, group).groupBy(key).agg(F.collect_list(F.struct(F.col("pii_kind").alias("kind"), "start", "found")).alias("_items"))
+    one = one_row(docs.select(key, text), key)
     return one.join(items, key, "left").select(key, sanitise_udf(names_of)(F.col(text), F.col("_items")).alias("text"))

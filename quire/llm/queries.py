@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions.text import classifier_text
 from quire.llm import encode, name_variants, packing, personal_data, plain_form, record_linkage, term_counts
 from quire.operators.packed_values import packed_values, split_packed
-from quire.session import cut, load
+from quire.session import cut, load, one_row
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,7 +63,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p6_ids")
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
-    docs = load(spark, d, "documents").select("doc_id", "text").dropDuplicates(["doc_id"])
+    docs = one_row(load(spark, d, "documents").select("doc_id", "text"), "doc_id")
     return encode.token_ids(docs, F.col("text")).select("doc_id", "ids")
 
 
@@ -103,17 +103,17 @@ CAPACITY = 2048
 
 @query("p7_containers")
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
-    docs = load(spark, d, "documents").select("doc_id", "text").dropDuplicates(["doc_id"])
+    docs = one_row(load(spark, d, "documents").select("doc_id", "text"), "doc_id")
     sizes = cut(encode.token_counts(docs, F.col("text")).select("doc_id", "tokens"))
     return packing.fill_containers(sizes, "doc_id", "tokens", CAPACITY)
 
 
 @query("p8_found")
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    items = personal_data.personal_items(load(spark, d, "documents"), "doc_id", "text", ["kind", "lang"], prior_share=personal_data.PRIOR_SHARE)
+    items = personal_data.personal_items(load(spark, d, "documents"), "doc_id", "text", ["kind", "lang"])
     return items.select("doc_id", "pii_kind", "found").distinct()
 
 
 @query("p8_text")
 def p8_text(spark: SparkSession, d: str) -> DataFrame:
-    return personal_data.sanitise(load(spark, d, "documents"), "doc_id", "text", ["kind", "lang"], load(spark, d, "pii_kinds"), personal_data.PRIOR_SHARE)
+    return personal_data.sanitise(load(spark, d, "documents"), "doc_id", "text", ["kind", "lang"], load(spark, d, "pii_kinds"))

@@ -1,10 +1,8 @@
 """Plain forms, term counts, encoding, packing and personal data."""
 
 import random
-import re
 from collections import Counter
 
-import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -214,72 +212,98 @@ def docs_of(spark, texts):
     return spark.createDataFrame([(i, t, "note", "es") for i, t in enumerate(texts)], "doc_id long, text string, kind string, lang string")
 
 
+def corpus():
+    """Letters that name a reader beside numbers, some only beside other things, and stories about people."""
+    word = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    phone = lambda i: f"555 68 {i // 100:02d} {i % 100:02d}"
+    texts = [f"Titular: Eva Sol{word(i)}; DNI 9925{i:04d}D. Llamen al {phone(i)}." for i in range(60)]
+    texts += [f"prestado a Ana Mar{word(i)}. {'Tel. ' + phone(i + 60) if i % 3 else 'Nada'}." for i in range(60)]
+    texts += [f"El mar y Luis Paz{word(i)} calló. {'Tel. ' + phone(i + 120) if i % 6 == 0 else 'Nada'}." for i in range(300)]
+    return texts
+
+
 def test_items_and_text(spark):
-    d = docs_of(spark, [TEXT, None, "", "La sombra habló con Luis Paz y calló.", "Gracias,\n\nEva Sol\n", "Un saludo, Paz, Luis.", "Ana <ana@b.test>"])
+    more = [TEXT, None, "", "La sombra y Luis Paz calló.", "prestado a Sol, Eva. prestado a Eva. Vino Eva.", "prestado a Ana Sol Mar de la Paz Pardo Ruiz Rey. Y Ana Sol Mar de la Paz Pardo Ruiz Rey."]
+    d = docs_of(spark, more + corpus())
     d = d.union(d)
-    got = {(r.doc_id, r.pii_kind, r.found) for r in personal_data.personal_items(d, "doc_id", "text", ["kind", "lang"]).collect()}
-    assert {x for x in got if x[1] == "person"} == {(0, "person", "Ana Ruiz Pardo"), (4, "person", "Eva Sol"), (5, "person", "Paz, Luis")}
+    got = {(r.doc_id, r.pii_kind, r.found) for r in personal_data.personal_items(d, "doc_id", "text", ["kind", "lang"]).where("doc_id < 6").collect()}
+    assert {x for x in got if x[1] == "person"} == {(0, "person", "Ana Ruiz Pardo"), (4, "person", "Sol, Eva"), (4, "person", "Eva"), (5, "person", "Ana Sol Mar de la Paz Pardo Ruiz Rey")}
     kinds = spark.createDataFrame([("person", "[P]"), ("email", "[E]"), ("phone", "[T]"), ("id", "[I]"), ("address", "[A]")], "pii_kind string, placeholder string")
-    t = {r.doc_id: r.text for r in personal_data.sanitise(d, "doc_id", "text", ["kind", "lang"], kinds).collect()}
+    t = {r.doc_id: r.text for r in personal_data.sanitise(d, "doc_id", "text", ["kind", "lang"], kinds).where("doc_id < 6").collect()}
     assert t[0].startswith("Titular: [P]; DNI [I]; [T]. Duplicado 190-38;") and "Vivo en [A].\nEscríbanme a [E] o a [E]." in t[0] and "Luis Paz" in t[0]
-    assert t[1] is None and t[2] == "" and t[3] == "La sombra habló con Luis Paz y calló." and t[4] == "Gracias,\n\n[P]\n" and t[6] == "Ana <[E]>"
+    assert t[1] is None and t[2] == "" and t[3] == "La sombra y Luis Paz calló." and t[4] == "prestado a [P]. prestado a [P]. Vino [P]." and t[5] == "prestado a [P]. Y [P]."
     assert personal_data.personal_items(d.limit(0), "doc_id", "text", ["kind", "lang"]).count() == 0
 
 
-def test_corpus_reveals_terms(spark):
-    """A term that is no sign beforehand becomes one when its documents hold protected entities."""
-    texts = [f"Responsable Eva Sol{chr(97 + i % 9)}. Tel. 555 68 77 {i:02d}" for i in range(60)] + [f"dijo Luis Paz{chr(97 + i % 9)} a todos" for i in range(200)]
-    got = {r.found for r in personal_data.personal_items(docs_of(spark, texts), "doc_id", "text", ["kind", "lang"]).where("pii_kind = 'person'").collect()}
-    assert got == {f"Eva Sol{chr(97 + i)}" for i in range(9)} or not any(g.startswith("Luis") for g in got)
-
-
-def test_sf_items_match_plain_count(spark):
-    """The Spark result equals the same counts made in plain Python."""
-    import math
-
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    rows = docs.select("doc_id", "text", "kind", "lang").dropDuplicates(["doc_id"]).collect()
-    found = []
-    for r in rows:
-        items = personal_data.structured(r.text) if r.text else []
-        found.append((r.doc_id, f"{r.kind}/{r.lang or ''}", r.text, items, personal_data.names(r.text, items) if r.text else []))
-    docs_in, with_in = Counter(g for _, g, *_ in found), Counter(g for _, g, _, i, _ in found if i)
-    seen, due = Counter(), Counter()
-    for _, g, _, items, spans in found:
-        for t in {t for s in spans for t in s[2]}:
-            seen[t] += bool(items)
-            due[t] += with_in[g] / docs_in[g]
-    bits = {t: math.log2((seen[t] + 10 * (4 if t in personal_data.SIGNS else 1)) / (due[t] + 10)) for t in due}
-    want = {(k, kind, t[a:b]) for k, _, t, items, _ in found for a, b, kind in items}
-    want |= {(k, "person", t[a:b]) for k, _, t, _, spans in found for a, b, ts in spans if any(bits[x] >= personal_data.LEAST_BITS for x in ts)}
-    got = {(r.doc_id, r.pii_kind, r.found) for r in personal_data.personal_items(docs, "doc_id", "text", ["kind", "lang"]).collect()}
-    assert got == want and re and pd is not None
-
-
 def people(df, copies=1, **kw):
     df = df.crossJoin(df.sparkSession.range(copies).withColumnRenamed("id", "copy")).selectExpr("doc_id * 1000 + copy as doc_id", "text", "kind", "lang")
     rows = personal_data.personal_items(df, "doc_id", "text", ["kind", "lang"], **kw).where("pii_kind = 'person'").collect()
     return Counter(r.found for r in rows)
 
 
-def test_choice_of_names_does_not_depend_on_size(spark):
-    share = {"prior_share": personal_data.PRIOR_SHARE}
-    # Characters at a sign whose documents hold an item as often as any other; and a learnt term of few documents.
-    texts = [f"la vecina Eva Sol{chr(97 + i)} huyó del mar." + (f" 555 68 77 {i:02d}" if i % 2 else "") for i in range(10)]
-    texts += [f"nada {i}" + (f" 555 68 78 {i:02d}" if i % 2 else "") for i in range(40)] + [f"Responsable Luis Paz{chr(97 + i)}. Tel. 555 68 79 {i:02d}" for i in range(4)]
-    texts += ["Un saludo, Ana Mar", "Un saludo, Ana Mar. 555 68 80 11"]
-    one, ten = people(docs_of(spark, texts), **share), people(docs_of(spark, texts), 10, **share)
-    assert one == {"Ana Mar": 2} and ten == {k: 10 * v for k, v in one.items()}
-    # New texts of the same rates change nothing either.
-    more = [t.replace("Sol", f"Sol{x}").replace("Mar", f"Mar{x}").replace("nada", f"nada {x}") for x in "bcdfghjklm" for t in texts if "Paz" not in t]
-    assert set(people(docs_of(spark, more), **share)) == {f"Ana Mar{x}" for x in "bcdfghjklm"}
+def test_corpus_reveals_terms(spark):
+    """No list tells that Titular and prestado a stand at readers and a verb at characters; the corpus does, at any size."""
+    one = people(docs_of(spark, corpus()))
+    assert len(one) == 120 and {k[:3] for k in one} == {"Eva", "Ana"} and set(one.values()) == {1}
+    assert people(docs_of(spark, corpus()), 10) == {k: 10 for k in one}
+    alone = [t.replace("Tel. ", "n.º ").replace("555 68 ", "1.") for t in corpus() if not t.startswith("Titular")]
+    assert not people(docs_of(spark, alone))  # nothing protected, nothing disclosed
+
+
+def test_a_second_round_carries_evidence(spark):
+    """A term beside disclosed names, but not beside numbers, discloses in the second round only."""
+    word = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    texts = corpus() + [f"Titular: Ana Rey{word(i)}; vista por Eva Mur{word(i)}." for i in range(30)]
+    names_of = lambda r: {x for x in people(docs_of(spark, texts), rounds=r) if " Mur" in x}
+    assert not names_of(1) and len(names_of(2)) == 30
+
+
+def test_terms_are_whole():
+    """Words of any length beside a name are terms, not their ends."""
+    w = "x" * 500
+    (_, _, terms, _), = personal_data.names(f"{w} {w} Eva Sol {w} {w}", [])
+    assert terms == [f"l:{w}", f"l2:{w} {w}", f"r:{w}{w}"]
+    many = "Eva Sol y " * 20_000
+    assert len(personal_data.names(many, [])) == 20_000
 
 
 def test_names_where_most_documents_hold_an_item(spark):
-    """At a base of two thirds no term can reach 0.7 bits, yet one that stands with an item far more often discloses."""
+    """Where two thirds of the documents hold an item anyway, a term whose documents hold one far more often discloses."""
     word = lambda i: "".join(chr(97 + int(c)) for c in str(i))
     phone = lambda i: f" 555 68 {i // 100:02d} {i % 100:02d}"
     texts = [f"Un saludo, Ana Mar{word(i)}." + (phone(i) if i % 10 else "") for i in range(400)]
     texts += [f"nada {i}" + (phone(i + 400) if i % 10 < 5 else "") for i in range(600)]
-    got = people(docs_of(spark, texts), prior_share=personal_data.PRIOR_SHARE)
-    assert len(got) == 400 and got["Ana Mara"] == 1
+    assert len(people(docs_of(spark, texts))) == 400
+
+
+def test_names_of_the_documents(spark):
+    """Held against the list of signs that an earlier version used: 1,894 names on sf0.1, of which 0.9 must be found without it."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    found = personal_data.personal_items(docs, "doc_id", "text", ["kind", "lang"]).where("pii_kind = 'person'").select("doc_id", "found").distinct()
+    assert found.count() >= 0.9 * 1_894
+
+
+def test_disclosure_matches_plain_count(spark):
+    """The Spark result equals the same counts made in plain Python."""
+    import math
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = []
+    for r in docs.select("text", "kind", "lang").distinct().collect():
+        items = personal_data.structured(r.text) if r.text else []
+        found.append((f"{r.kind or ''}{'/'}{r.lang or ''}", len(items), personal_data.names(r.text, items) if r.text else []))
+    all_in, with_in = Counter(g for g, *_ in found), Counter(g for g, n, _ in found if n)
+    n_docs, seen, due = Counter(), Counter(), Counter()
+    for g, n, spans in found:
+        for t in {t for *_, ts, lone in spans if not lone for t in ts}:
+            n_docs[t] += 1
+            seen[t] += n - ("[" in t) > 0
+            due[t] += with_in[g] / all_in[g]
+    rows = personal_data.spans(docs.dropDuplicates(["doc_id"]), "doc_id", "text", ["kind", "lang"]).withColumn("own", F.lit(None).cast("array<int>"))
+    got = {r.term: r for r in personal_data.disclosure(rows).collect()}
+    for t, n in n_docs.items():
+        p, q = due[t] / n, (seen[t] + due[t] / n) / (n + 1)
+        if 0 < p < q - 1e-9 and q < 1:
+            bits = seen[t] * math.log2(q / p) + (n - seen[t]) * math.log2((1 - q) / (1 - p))
+            assert (got[t].docs, got[t].seen) == (n, seen[t]) and abs(got[t].bits - bits) < 1e-6 and abs(got[t].gain - (q - p) / (1 - p)) < 1e-6, t
+    assert set(got) <= set(n_docs)
