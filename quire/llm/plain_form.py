@@ -1,28 +1,41 @@
 """Visually identical text with different characters: one plain form for every string.
 
-Method: a weighted edit automaton is run over a trie of the vocabulary. Reading a look-alike as the letter it looks
-like, and skipping an ignorable character, cost nothing; any other edit costs one. Words that reach the end of a
-vocabulary word within the allowed cost (0 here: typos stay) take that canonical spelling; the other words are
-normalised by the table of look-alikes. Words wholly in another script stay.
-
-The vocabulary is a given list of terms and words of the corpus: those that settle a string in which no word tells the
-script, found by a join of the Latin readings of such strings with all words of the plain strings, however rare; or those
-that occur in at least one of ``1 / floor`` strings. A bound is checked before the words are sent to the executors.
+Method: a string is cut into words as they stand, look-alikes, ignorable characters and all. Each word that holds such
+characters is run through a trie of the vocabulary by a weighted edit automaton: reading a look-alike as a letter it looks
+like, a full-width form, ligature or overlaid stroke as what it shows, and skipping an ignorable character cost nothing;
+any other edit costs one. A word that reaches the end of a vocabulary word within the allowed cost (0 for p4: typos stay)
+takes that canonical spelling. Only words that reach none are normalised by the table of look-alikes, character by
+character. Words wholly in another script stay; what script a word is in is told by itself, by its neighbours, or, where
+all words of a string are made of look-alikes, by the vocabulary.
+
+No vocabulary is collected or broadcast: distinct words of the text and of the vocabulary meet in blocks by their outline
+(the first look of each character), each block builds its own trie of bounded size, and the canonical spellings are joined
+back to the strings.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import cut
+
 # Letters that look like a Latin letter, by script, in alphabetical order of the Latin letter.
-CYRILLIC = dict(zip("аАВсСԁеЕһНіІјЈкКӏмМоОрРԛѕЅтТуУѵԝхХ", "aABcCdeEhHiIjJkKlmMoOpPqsStTyYvwxX", strict=True))
+CYRILLIC = dict(zip("аАВсСԁеЕһНіІӀјЈкКӏМмоОрРԛѕЅтТуУѵԝхХ", "aABcCdeEhHiIIjJkKlMmoOpPqsStTyYvwxX", strict=True))
 GREEK = dict(zip("αΑΒϲϹΕΗιΙϳκΚΜηΝοΟρΡτΤυνχΧγΥΖω", "aABcCEHiIjkKMnNoOpPtTuvxXyYZw", strict=True))
-LOOKS = CYRILLIC | GREEK
+ARMENIAN = dict(zip("հյոօՕզՏսՍ", "hjnoOqSuU", strict=True))
+CHEROKEE = dict(zip("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPSTVWZ", strict=True))
+PHONETIC = dict(zip("ɑɡ", "ag", strict=True))
+LOOKS = CYRILLIC | GREEK | ARMENIAN | CHEROKEE | PHONETIC
+SCRIPTS = ("CYRILLIC", "GREEK", "ARMENIAN", "CHEROKEE")
+#: Letters that look like a second one as well; the vocabulary tells which is meant, the table takes the first.
+ALSO = {"ӏ": "I", "Ӏ": "l", "І": "l", "Ι": "l", "ν": "u", "η": "h"}
+#: Letters with a stroke, as a letter and an overlaid stroke show them.
+STROKES = {f"{a}{mark}": b for pair in ("oø", "OØ", "lł", "LŁ", "dđ", "DĐ", "hħ", "HĦ", "tŧ", "TŦ") for a, b in [pair] for mark in "\u0335\u0337\u0338"}
 #: Marks that stand for an ordinary one: hyphens and the dot between facet and value.
 MARKS = dict.fromkeys("‐‑﹣－", "-") | dict.fromkeys("·‧⋅∙", "·")
 #: Compatibility forms that look like what they stand for; the others (superscripts, fractions, circled ...) do not.
@@ -50,6 +63,28 @@ def same_look(c: str) -> str:
     return c
 
 
+def wordlike(c: str) -> bool:
+    """Letters, their marks, what shows letters, and what shows nothing."""
+    return c.isalpha() or unicodedata.combining(c) > 0 or ignorable(c) or same_look(c)[:1].isalpha()
+
+
+def odd(word: str) -> bool:
+    """Whether a word holds a character that may have to be read as another."""
+    return any(not c.isascii() and (c in LOOKS or c in ALSO or unicodedata.combining(c) or ignorable(c) or same_look(c) != c) for c in word)
+
+
+def readings(c: str) -> tuple[str, ...]:
+    """What one character can be read as at no cost, the nearest look first; decomposed."""
+    if c.isascii():
+        return (c,)
+    first = unicodedata.normalize("NFD", same_look(c))
+    return tuple(dict.fromkeys([LOOKS.get(c) or MARKS.get(c) or first, *ALSO.get(c, ""), first]))
+
+
+#: The cost of an edit; a second look costs one, so that it decides between spellings and never against one.
+EDIT = 100
+
+
 class Trie:
     """Vocabulary trie over decomposed characters, traversed by an edit automaton."""
 
@@ -65,174 +100,212 @@ class Trie:
                     self.word.append(None)
                 at = self.next[at][c]
             old = self.word[at]
-            self.word[at] = (w, n + (old[1] if old else 0))
+            self.word[at] = (unicodedata.normalize("NFC", w), n + (old[1] if old else 0))
 
-    def find(self, chars: str, budget: int = 0) -> str | None:
-        """The canonical spelling reached with the least cost, the commonest and then the first by code points on ties."""
-        states = {0: 0}
+    def walk(self, node: int | None, chars: str) -> int | None:
         for c in chars:
-            after: dict[int, int] = {}
-
-            def reach(node: int, cost: int, after=after) -> None:
-                if cost <= budget and cost < after.get(node, budget + 1):
-                    after[node] = cost
-
-            for node, cost in states.items():
-                if ignorable(c):
-                    reach(node, cost)
+            node = self.next[node].get(c) if node is not None else None
+        return node
+
+    def best(self, chars: str, budget: int = 0) -> tuple[int, int, str] | None:
+        """(cost, -uses, spelling) of the vocabulary word reached with the least cost, the commonest and then the first by code points on ties."""
+        most = budget * EDIT + EDIT - 1
+        chars = "".join(c if c in LOOKS else unicodedata.normalize("NFD", c) for c in chars)
+        states: list[dict[int, int]] = [{} for _ in range(len(chars) + 2)]
+        states[0][0] = 0
+
+        def reach(i: int, node: int | None, cost: int) -> None:
+            if node is not None and cost <= most and cost < states[i].get(node, most + 1):
+                states[i][node] = cost
+
+        for i, c in enumerate(chars):
+            todo = list(states[i].items()) if budget else ()
+            while todo:  # characters of the vocabulary that the text lacks
+                node, cost = todo.pop()
+                for to in self.next[node].values():
+                    if cost + EDIT <= most and cost + EDIT < states[i].get(to, most + 1):
+                        states[i][to] = cost + EDIT
+                        todo.append((to, cost + EDIT))
+            skip, stroke = ignorable(c), STROKES.get(chars[i : i + 2])
+            for node, cost in states[i].items():
+                if skip:
+                    reach(i + 1, node, cost)
                     continue
-                for reading in {c, LOOKS.get(c, c), MARKS.get(c, c)}:
-                    if (to := self.next[node].get(reading)) is not None:
-                        reach(to, cost)
-                if cost < budget:
-                    reach(node, cost + 1)
+                for k, reading in enumerate(readings(c)):
+                    reach(i + 1, self.walk(node, reading), cost + (k > 0))
+                if stroke:
+                    reach(i + 2, self.walk(node, stroke), cost)
+                if cost + EDIT <= most:
+                    reach(i + 1, node, cost + EDIT)
                     for to in self.next[node].values():
-                        reach(to, cost + 1)
-            if budget:  # characters of the vocabulary that the text lacks
-                todo = list(after)
-                while todo:
-                    node = todo.pop()
-                    for to in self.next[node].values():
-                        if after[node] + 1 <= budget and after[node] + 1 < after.get(to, budget + 1):
-                            after[to] = after[node] + 1
-                            todo.append(to)
-            if not after:
-                return None
-            states = after
-        ends = [(cost, -self.word[n][1], self.word[n][0]) for n, cost in states.items() if self.word[n]]
-        return min(ends)[2] if ends else None
+                        reach(i + 1, to, cost + EDIT)
+        last = states[len(chars)]
+        todo = list(last.items()) if budget else ()
+        while todo:
+            node, cost = todo.pop()
+            for to in self.next[node].values():
+                if cost + EDIT <= most and cost + EDIT < last.get(to, most + 1):
+                    last[to] = cost + EDIT
+                    todo.append((to, cost + EDIT))
+        return min(((cost, -self.word[n][1], self.word[n][0]) for n, cost in last.items() if self.word[n]), default=None)
+
+    def find(self, chars: str, budget: int = 0) -> str | None:
+        got = self.best(chars, budget)
+        return got[2] if got else None
+
 
+def shown(chars: str, latin: bool) -> str:
+    """The table: what is left of the characters without ignorables and compatibility forms, look-alikes as Latin letters if ``latin``."""
+    text = unicodedata.normalize("NFD", "".join(same_look(c) for c in chars if not ignorable(c)))
+    text = "".join(" " if unicodedata.category(c) == "Zs" else MARKS.get(c, c) for c in text)
+    return unicodedata.normalize("NFC", "".join(LOOKS.get(c, c) for c in text) if latin else text)
 
-def to_latin(chars: str) -> str:
-    """Decomposed characters with look-alikes as Latin letters, composed."""
-    return unicodedata.normalize("NFC", "".join(LOOKS.get(c, c) for c in chars))
 
+def outline(word: str) -> str:
+    """A key that all words with a common reading share: the first look of each character, without marks, I and l alike."""
+    base = "".join(readings(c)[0] for c in word if not ignorable(c))
+    base = unicodedata.normalize("NFD", "".join(_UNSTROKED.get(c, c) for c in base))
+    return "".join(_ONE.get(c, c) for c in base if not unicodedata.combining(c))
 
-def words_of(text: str) -> list[str]:
-    """The string cut into runs of letters with their marks, and runs of anything else, in order."""
-    out: list[str] = []
+
+_UNSTROKED = {b: a[0] for a, b in STROKES.items()}
+_ONE = {"I": "l", "u": "v", "h": "n"}
+
+
+def pieces(text: str) -> list[tuple[str, str]]:
+    """(piece, script): words as they stand and what is between them. The script is '' for none, 'latin', 'sure' for a word of another script, 'maybe' for look-alikes only."""
+    cuts: list[str] = []
     was = None
     for c in text:
-        kind = c.isalpha() or was is True and unicodedata.combining(c) > 0
+        kind = wordlike(c)
         if kind == was:
-            out[-1] += c
+            cuts[-1] += c
         else:
-            out.append(c)
+            cuts.append(c)
         was = kind
+    out = []
+    for p in cuts:
+        seen = unicodedata.normalize("NFD", "".join(same_look(c) for c in p if not ignorable(c)))
+        other = [c for c in seen if script(c) in SCRIPTS]
+        if any(c not in LOOKS and c not in ALSO for c in other):
+            out.append((p, "sure"))  # a letter that no Latin one looks like; a Latin letter in such a word is a slip, and slips stay
+        elif any(script(c) == "LATIN" for c in seen):
+            out.append((p, "latin"))
+        else:
+            out.append((p, "maybe" if other else ""))
     return out
 
 
-def scripts_of(text: str) -> tuple[list[str], list[str]]:
-    """The parts of a string, and of each what tells its script: '' none, 'latin', 'sure' a word of another script, 'maybe' only look-alikes."""
-    shown = "".join(x for c in text if not ignorable(c) for x in same_look(c))
-    shown = "".join(" " if unicodedata.category(c) == "Zs" else MARKS.get(c, c) for c in shown)
-    parts = words_of(unicodedata.normalize("NFD", shown))
-    foreign: list[str] = []
-    for p in parts:
-        scripts = {s for c in p if (s := script(c))}
-        other = [c for c in p if script(c) in ("CYRILLIC", "GREEK")]
-        if any(c not in LOOKS for c in other):
-            foreign.append("sure")  # a letter that no Latin one looks like; a Latin letter in such a word is a slip, and slips stay
-        elif "LATIN" in scripts or not other:
-            foreign.append("latin" if "LATIN" in scripts else "")
-        else:
-            foreign.append("maybe")
-    return parts, foreign
-
+def asked_words(text: str | None) -> list[str]:
+    """The words of a string that the vocabulary is asked for."""
+    return sorted({p for p, f in pieces(text or "") if f in ("latin", "maybe") and odd(p)})
 
-def lone_readings(text: str | None) -> list[str]:
-    """The Latin readings of the look-alike words of a string in which no other word tells the script."""
-    parts, foreign = scripts_of(text or "")
-    return [] if "latin" in foreign or "sure" in foreign else [to_latin(p) for p, f in zip(parts, foreign, strict=True) if f == "maybe"]
 
+def plain_form(text: str | None, find: Callable[[str], str | None] = lambda _: None) -> str | None:
+    """The plain form of one string; ``find`` gives the canonical spelling of a word, if the vocabulary has one.
 
-def plain_form(text: str | None, trie: Trie, budget: int = 0) -> str | None:
-    """The plain form of one string. NULL stays NULL; the empty string stays empty; case, blanks' number and typos stay."""
+    NULL stays NULL; the empty string stays empty; case, blanks' number and typos stay.
+    """
     if not text:
         return text
-    parts, foreign = scripts_of(text)
+    parts = pieces(text)
+    scripts = [f for _, f in parts]
     out = []
-    for i, p in enumerate(parts):
-        if foreign[i] == "latin" and any(c in LOOKS for c in p):
-            out.append(trie.find(p, budget) or to_latin(p))
-        elif foreign[i] == "maybe":
+    for i, (p, f) in enumerate(parts):
+        latin = f == "latin"
+        canon = find(p) if f in ("latin", "maybe") and odd(p) else None
+        if f == "maybe":
             # The nearest word that is surely of one script tells, before and after; the vocabulary settles the rest.
-            near = [f for f in (next((x for x in foreign[i - 1 :: -1] if x in ("latin", "sure")), "") if i else "", next((x for x in foreign[i + 1 :] if x in ("latin", "sure")), "")) if f]
-            canon = trie.find(p, budget)
-            latin = "sure" not in near and (bool(near) or canon is not None)
-            out.append((canon or to_latin(p)) if latin else p)
-        else:
-            out.append(p)
+            before = next((x for x in reversed(scripts[:i]) if x in ("latin", "sure")), "")
+            after = next((x for x in scripts[i + 1 :] if x in ("latin", "sure")), "")
+            latin = "sure" not in (before, after) and (bool(before or after) or canon is not None)
+        out.append(canon if latin and canon is not None else shown(p, latin))
     return unicodedata.normalize("NFC", "".join(out))
 
 
-def plain_words(texts: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
-    """The plain strings, and (word, n) of all their words with the number of strings they stand in."""
+def word_vocabulary(texts: DataFrame, column: str) -> DataFrame:
+    """(word, n): all words of the plain strings, however rare, with the number of strings they stand in."""
     plain = texts.where(F.col(column).isNotNull() & ~F.col(column).rlike(SUSPECT)).select(column)
     words = plain.select(F.explode(F.array_distinct(F.split(column, r"[^\p{L}\p{M}]+"))).alias("word")).where("word <> ''")
-    return plain, words.groupBy("word").agg(F.count("*").alias("n"))
+    return words.groupBy("word").agg(F.count("*").alias("n"))
+
 
+def _each(f, kind: str):
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield pd.Series([f(x) for x in b], dtype="object")
 
-def lone_vocabulary(texts: DataFrame, column: str) -> DataFrame:
-    """(word, n): the words of plain strings, however rare, that a string made only of look-alikes can be read as."""
+    return F.pandas_udf(run, kind).asNondeterministic()  # evaluated once where it stands
 
-    @F.pandas_udf("array<string>")
-    def lone(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for strings in batches:
-            yield pd.Series([lone_readings(t) for t in strings], dtype="object")
 
-    asked = texts.where(F.col(column).rlike(SUSPECT)).select(F.explode(lone.asNondeterministic()(F.col(column))).alias("word")).distinct()
-    return plain_words(texts, column)[1].join(asked, "word").select("word", "n")
+#: Most words of a trie, on average: a block of this size takes some 40 MB in a worker.
+TRIE_WORDS = 20_000
 
 
-def word_vocabulary(texts: DataFrame, column: str, floor: int = 10_000) -> DataFrame:
-    """Words of plain strings that occur in at least one of every ``floor`` strings: (word, n).
+def canonical(words: DataFrame, vocabulary: DataFrame, budget: int = 0, trie_words: int = TRIE_WORDS) -> DataFrame:
+    """(word, canon): of the distinct ``words`` (word), those that reach a word of ``vocabulary`` (word, n) within ``budget`` edits.
 
-    Counted over all rows with map-side aggregation; the share makes the size independent of the corpus.
+    Without edits a word can only reach words of its own outline, so both are spread by it; with edits every block of
+    the vocabulary is asked for every word, and the least cost decides.
     """
-    plain, words = plain_words(texts, column)
-    least = plain.agg(F.ceil(F.count("*") / floor).alias("least"))
-    return words.join(F.broadcast(least), F.col("n") >= F.col("least")).select("word", "n")
+    known = vocabulary.groupBy("word").agg(F.sum("n").alias("n"))
+    blocks = max(1, -(-known.count() // trie_words))
+    line = _each(outline, "string")
+    spread = F.pmod(F.xxhash64(line("word")), F.lit(blocks))
+    asked = words.distinct()
+    asked = asked.withColumn("block", spread) if not budget else asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left):
+            trie = Trie(zip(right["word"], right["n"], strict=True))
+            for w in left["word"]:
+                if got := trie.best(w, budget):
+                    out.append((w, *got))
+        return pd.DataFrame(out, columns=["word", "cost", "uses", "canon"]).astype({"cost": "int64", "uses": "int64"})
+
+    found = asked.groupBy("block").cogroup(known.withColumn("block", spread).groupBy("block")).applyInPandas(run, "word string, cost long, uses long, canon string")
+    return found.groupBy("word").agg(F.min(F.struct("cost", "uses", "canon"))["canon"].alias("canon"))
+
+
+def plain_strings(strings: DataFrame, vocabulary: DataFrame, budget: int = 0) -> DataFrame:
+    """(string, plain) of every distinct string of the one column of ``strings`` that holds suspect characters.
+
+    NULL, and strings without suspect characters, are left out in the JVM; Python sees only the odd ones.
+    """
+    (column,) = strings.columns
+    odd_ones = strings.select(F.col(f"`{column}`").alias("string")).where(F.col("string").rlike(SUSPECT)).distinct()
+    odd_ones = cut(odd_ones.withColumn("words", _each(asked_words, "array<string>")("string")))
+    each = odd_ones.select("string", F.explode("words").alias("word"))
+    canon = canonical(each.select("word"), vocabulary, budget)
+    told = each.join(canon, "word").groupBy("string").agg(F.collect_list(F.struct("word", "canon")).alias("told"))
 
+    @F.pandas_udf("string")
+    def plain(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, spellings in batches:
+            yield pd.Series([plain_form(t, {} .get if s is None else {x["word"]: x["canon"] for x in s}.get) for t, s in zip(texts, spellings, strict=True)], dtype="object")
 
-#: Most words sent to the executors; beyond, nothing is sent and the query fails.
-MOST_WORDS = 2_000_000
+    return odd_ones.join(told, "string", "left").select("string", plain.asNondeterministic()("string", "told").alias("plain"))
 
 
-def plain_udf(spark, terms: DataFrame, words: DataFrame | None = None, budget: int = 0, many: bool = False):
-    """A vectorised function of a string column giving its plain form; with ``many``, of an array column, string by string.
+def odd_strings(df: DataFrame, key: str, column: str, vocabulary: DataFrame, budget: int = 0) -> DataFrame:
+    """(rec_id, plain) of the rows whose string differs from its plain form; each key and form once.
 
-    ``terms``: one string column of known spellings, taken whole; ``words``: (word, n) from :func:`lone_vocabulary` or :func:`word_vocabulary`.
+    NULL and empty strings give no row. The input may hold any other columns; they are dropped.
     """
-    known = [(w, 1) for r in terms.collect() for w in words_of(unicodedata.normalize("NFC", r[0] or "")) if w[:1].isalpha()]
-    more = [(r.word, r.n) for r in words.limit(MOST_WORDS + 1).collect()] if words is not None else []
-    if len(more) > MOST_WORDS:
-        raise ValueError("the vocabulary is larger than its bound")
-    vocabulary = spark.sparkContext.broadcast(known + more)
-
-    @F.pandas_udf("array<string>" if many else "string")
-    def plain(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        trie = Trie(vocabulary.value)
-        for texts in batches:
-            if many:
-                yield pd.Series([None if ts is None else [plain_form(t, trie, budget) for t in ts] for ts in texts], dtype="object")
-            else:
-                yield pd.Series([plain_form(t, trie, budget) for t in texts], dtype="object")
+    rows = df.select(F.col(f"`{key}`").alias("rec_id"), F.col(f"`{column}`").alias("string")).where(F.col("string").rlike(SUSPECT))
+    made = plain_strings(rows.select("string"), vocabulary, budget)
+    return rows.join(made, "string").where(F.col("plain") != F.col("string")).select("rec_id", "plain").distinct()
 
-    return plain.asNondeterministic()  # evaluated once where it stands: not moved into generators, not doubled
 
+def plain_elements(df: DataFrame, key: str, column: str, vocabulary: DataFrame) -> DataFrame:
+    """The rows with every string of an array column in its plain form; only rows with odd strings are taken apart.
 
-def odd_strings(df: DataFrame, key: str, column: str, plain) -> DataFrame:
-    """(key, plain) of the rows whose string differs from its plain form; each key and form once.
-
-    Rows without suspect characters are left out in the JVM, so Python sees only the odd ones. NULL and empty strings
-    give no row. The input may hold any other columns; they are dropped.
+    ``key`` may stand in several rows; it is any column or struct that tells which rows hold the same array.
     """
-    suspect = df.select(F.col(f"`{key}`").alias("rec_id"), F.col(f"`{column}`").alias("_odd")).where(F.col("_odd").rlike(SUSPECT))
-    made = suspect.withColumn("plain", plain(F.col("_odd")))
-    return made.where(F.col("plain") != F.col("_odd")).select("rec_id", "plain").distinct()
-
-
-def plain_column(column: Column, plain) -> Column:
-    """The plain form of a column; strings without suspect characters pass through."""
-    return F.when(column.rlike(SUSPECT), plain(column)).otherwise(column)
+    is_odd = F.coalesce(F.exists(F.col(column), lambda t: t.rlike(SUSPECT)), F.lit(False))
+    some = df.where(is_odd)
+    each = some.select(key, F.explode(F.array_distinct(column)).alias("string"))
+    made = each.join(plain_strings(each.select("string"), vocabulary), "string").groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("string", "plain"))).alias("_plain"))
+    mended = some.join(made, key).withColumn(column, F.transform(column, lambda t: F.coalesce(F.element_at("_plain", t), t))).drop("_plain")
+    return df.where(~is_odd).unionByName(mended.select(df.columns))

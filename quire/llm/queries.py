@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.text import classifier_text
@@ -26,39 +26,71 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _known(spark: SparkSession, d: str) -> DataFrame:
+    """(word, n): the words of the known tags, as they stand in the fixed table."""
+    words = F.explode(F.split("canon", r"[^\p{L}\p{M}]+")).alias("word")
+    return load(spark, d, "tag_terms").select(words).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+
+
 @query("p4_found")
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     titles = load(spark, d, "current_books").select("book_id", "title")
     rows = load(spark, d, "training_rows").select("row_id", "tags")
-    vocabulary = plain_form.lone_vocabulary(titles, "title")
-    known = load(spark, d, "tag_terms").select("canon")
-    plain, plain_tag = plain_form.plain_udf(spark, known, vocabulary), plain_form.plain_udf(spark, known)
+    known = _known(spark, d)
+    vocabulary = known.unionByName(plain_form.word_vocabulary(titles, "title"))
     tags = split_packed(rows.where(F.col("tags").rlike(plain_form.SUSPECT)), "tags", ["row_id"], "pos", "tag")
-    found = [("title", plain_form.odd_strings(titles, "book_id", "title", plain)), ("tags", plain_form.odd_strings(tags, "row_id", "tag", plain_tag))]
+    found = [("title", plain_form.odd_strings(titles, "book_id", "title", vocabulary)), ("tags", plain_form.odd_strings(tags, "row_id", "tag", known))]
     a, b = (df.select(F.lit(name).alias("field_name"), "rec_id", "plain") for name, df in found)
     return a.unionByName(b)
 
 
-@query("p5_found")
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = load(spark, d, "training_rows").select("row_id", "tags", "comments")
-    plain = plain_form.plain_udf(spark, load(spark, d, "tag_terms").select("canon"), many=True)
+def _row_terms(spark: SparkSession, d: str):
+    """What is counted of a training row: tags in their plain form, and the words of the normalised comment."""
+    known = _known(spark, d)
 
     def terms(changed: DataFrame) -> DataFrame:
         def named(field: str, values):
             return F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.struct(F.lit(field).alias("field"), v.alias("term")))
 
         # Each tag on its own, as in p4_found: a tag may hold any character, and its neighbours tell nothing of its script.
-        changed = changed.withColumn("_tags", packed_values(F.col("tags")))
-        odd = F.exists("_tags", lambda t: t.rlike(plain_form.SUSPECT))
-        changed = changed.withColumns({"_plain": plain(F.when(odd, F.col("_tags"))), "_words": classifier_text("comments")})
-        tags = F.coalesce("_plain", "_tags")
+        changed = changed.withColumns({"_tags": packed_values(F.col("tags")), "_row": F.struct("row_id", "sign")})
+        changed = plain_form.plain_elements(changed, "_row", "_tags", known).withColumn("_words", classifier_text("comments"))
         words = F.filter(F.split("_words", " "), lambda w: w.rlike("[a-z0-9]"))
-        return changed.withColumn("_terms", F.concat(named("tags", F.filter(tags, lambda t: t != "")), named("comments", words)))
+        return changed.withColumn("_terms", F.concat(named("tags", F.filter("_tags", lambda t: t != "")), named("comments", words)))
+
+    return terms
+
+
+def _counted(spark: SparkSession, d: str, snapshots: list[DataFrame]) -> DataFrame:
+    """The marks after the last of some snapshots of the training rows, each counted as a change of the one before."""
+    store = term_counts.TermCounts(spark, "training_rows", "row_id", _row_terms(spark, d))
+    for rows in snapshots:
+        counts = store.update(rows.select("row_id", "tags", "comments"))
+    found = cut(term_counts.marks(counts, snapshots[-1].select("row_id").distinct().count()))
+    store.remove()
+    return found
+
+
+def _exports(spark: SparkSession, d: str) -> tuple[DataFrame, Column, Column]:
+    """The training rows, and which of them were exported in the first and in the second half of the time; rows without a time are in both."""
+    rows = load(spark, d, "training_rows")
+    first, last = rows.select(F.min("exported_at"), F.max("exported_at")).first()
+    middle = F.lit(None if first is None else first + (last - first) / 2)
+    return rows, F.coalesce(F.col("exported_at") <= middle, F.lit(True)), F.coalesce(F.col("exported_at") > middle, F.lit(True))
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Counted as the rows arrived: the exports of the first half of the time, then all."""
+    rows, early, _ = _exports(spark, d)
+    return _counted(spark, d, [rows.where(early), rows])
+
 
-    store = term_counts.TermCounts(spark, "training_rows", "row_id", terms)
-    counts = store.update(rows, keep_records=False)
-    return term_counts.marks(counts, rows.select("row_id").distinct().count())
+@query("p5_deltas")
+def p5_deltas(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of p5_found by way of deletions and changes: the early exports without comments, the late ones only, then all."""
+    rows, early, late = _exports(spark, d)
+    return _counted(spark, d, [rows.where(early).withColumn("comments", F.lit(None).cast("string")), rows.where(late), rows])
 
 
 @query("p6_ids")

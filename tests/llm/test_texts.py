@@ -9,10 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quire.llm import encode, packing, personal_data, plain_form, term_counts
-from quire.llm.queries import p4_found, p5_found
-
-EMPTY = plain_form.Trie([])
-
+from quire.llm.queries import p4_found, p5_deltas, p5_found
 
 @pytest.mark.parametrize(
     ("odd", "plain"),
@@ -23,8 +20,8 @@ EMPTY = plain_form.Trie([])
     ],
 )
 def test_plain(odd, plain):
-    assert plain_form.plain_form(odd, EMPTY) == plain
-    assert plain_form.plain_form(plain, EMPTY) == plain
+    assert plain_form.plain_form(odd) == plain
+    assert plain_form.plain_form(plain) == plain
 
 
 def test_trie_budget():
@@ -33,22 +30,62 @@ def test_trie_budget():
     assert t.find("max", 1) == "mas" and t.find("coseca", 1) == "cosecha" and t.find("cosechha", 1) == "cosecha" and t.find("zzz", 1) is None
 
 
+def test_trie_and_table_differ():
+    """Where a character looks like several letters, or a stroke is laid over one, the vocabulary decides; the table has one reading."""
+    t = plain_form.Trie([("Illa", 1), ("lago", 3), ("smørbrød", 1), ("niñez", 1)])
+    for odd, table, word in (("ӏlla", "llla", "Illa"), ("Іago", "Iago", "lago"), ("smo\u0338rbro\u0338d", "smo\u0338rbro\u0338d", "smørbrød")):
+        assert plain_form.plain_form(odd) == table and plain_form.plain_form(odd, t.find) == word and t.best(odd)[0] < plain_form.EDIT
+        assert plain_form.outline(odd) == plain_form.outline(word)
+    assert plain_form.plain_form("nin\u0303\u200bez", t.find) == "niñez" and t.find("ninez") is None and t.find("ninez", 1) == "niñez"
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("aIlouhnéñøł", min_size=1, max_size=8), st.integers(0, 10**9))
+def test_disguised_words_are_found(word, seed):
+    """Every disguise of a vocabulary word reaches it at no cost of an edit, and lies in its block."""
+    r = random.Random(seed)
+    looks = {}
+    for c, like in plain_form.LOOKS.items():
+        looks.setdefault(like, []).append(c)
+    for c, also in plain_form.ALSO.items():
+        for like in also:
+            looks.setdefault(like, []).append(c)
+    import unicodedata as u
+
+    odd = "".join(r.choice([c, *looks.get(c, []), chr(0xFEE0 + ord(c)) if c.isascii() else c, c + "\u200b"]) for c in u.normalize("NFD", word) for c in [c])
+    got = plain_form.Trie([(u.normalize("NFC", word), 1), ("zzz", 5)]).best(odd)
+    assert got and got[2] == u.normalize("NFC", word) and plain_form.outline(odd) == plain_form.outline(word)
+
+
+def vocabulary(spark, *words):
+    return spark.createDataFrame([(w, 1) for w in words], "word string, n long")
+
+
+def plain_of(spark, strings, *words, **how):
+    df = spark.createDataFrame([(s,) for s in strings], "t string")
+    return {r.string: r.plain for r in plain_form.plain_strings(df, vocabulary(spark, *words), **how).collect()}
+
+
 def test_vocabulary_settles_lone_words(spark):
-    terms = spark.createDataFrame([("coсo",), ("cоро",), (None,)], "t string")  # a vocabulary may be odd itself
-    plain = plain_form.plain_udf(spark, spark.createDataFrame([("copo",)], "t string"))
-    got = terms.select(plain_form.plain_column(F.col("t"), plain)).collect()
-    assert [r[0] for r in got] == ["coco", "copo", None]
-    whole = spark.createDataFrame([("соро",), ("мир",)], "t string").select(plain_form.plain_column(F.col("t"), plain)).collect()
-    assert [r[0] for r in whole] == ["copo", "мир"]
+    assert plain_of(spark, ["coсo", "cоро", None, "", "plain", "соро", "мир"], "copo") == {"coсo": "coco", "cоро": "copo", "соро": "copo", "мир": "мир"}
+    assert plain_of(spark, ["соро"]) == {"соро": "соро"}
+
+
+def test_blocks_of_the_vocabulary_change_nothing(spark):
+    words = spark.createDataFrame([("cоро",), ("mаrx",), ("cоро",)], "word string")
+    known = vocabulary(spark, "copo", "mar", "marca", "sol", "copa")
+    for size in (1, 2, 100):
+        assert {tuple(r) for r in plain_form.canonical(words, known, trie_words=size).collect()} == {("cоро", "copo")}
+        assert {tuple(r) for r in plain_form.canonical(words, known, 1, size).collect()} == {("cоро", "copo"), ("mаrx", "mar")}
+    assert plain_form.canonical(words.limit(0), known).count() == 0
 
 
-def test_odd_strings_and_vocabulary(spark):
-    df = spark.createDataFrame([(1, "mаr", "x"), (1, "mаr", "y"), (2, "mar", "x"), (3, None, "x"), (4, "", "x")], "id long, t string, plain string")
-    plain = plain_form.plain_udf(spark, spark.createDataFrame([], "t string"))
-    assert [tuple(r) for r in plain_form.odd_strings(df, "id", "t", plain).collect()] == [(1, "mar")]
-    assert plain_form.odd_strings(df.limit(0), "id", "t", plain).count() == 0
-    w = spark.createDataFrame([("a b a",), ("b c",), ("b",), (None,)], "t string")
-    assert {tuple(r) for r in plain_form.word_vocabulary(w, "t", 2).collect()} == {("b", 3)}
+def test_odd_strings(spark):
+    df = spark.createDataFrame([(1, "mаr", "x"), (1, "mаr", "y"), (2, "mar", "x"), (3, None, "x"), (4, "", "x"), (5, "а" * 100_000 + " b", "x")], "id long, t string, plain string")
+    assert {tuple(r) for r in plain_form.odd_strings(df, "id", "t", vocabulary(spark)).collect()} == {(1, "mar"), (5, "a" * 100_000 + " b")}
+    assert plain_form.odd_strings(df.limit(0), "id", "t", vocabulary(spark)).count() == 0
+    w = spark.createDataFrame([("a b a",), ("b c",), ("b",), (None,), ("cоро",)], "t string")
+    assert {tuple(r) for r in plain_form.word_vocabulary(w, "t").collect()} == {("a", 1), ("b", 3), ("c", 1)}
 
 
 def test_rare_words_settle_lone_words_of_large_tables(spark, tmp_path):
@@ -95,9 +132,45 @@ def test_incremental_equals_recount(spark, tmp_path):
 
 
 def test_only_changes_are_counted(spark):
-    old = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (None, "n")], "k long, t string")
-    new = spark.createDataFrame([(1, "a"), (2, "c"), (4, "d"), (None, "n")], "k long, t string")
-    assert {tuple(r) for r in term_counts.signed_changes(old, new, "k").collect()} == {(2, "b", -1), (2, "c", 1), (3, None, -1), (4, "d", 1)}
+    def hashed(rows):
+        df = spark.createDataFrame(rows, "k long, t string, u string")
+        return df.select(F.col("k").alias("key"), F.lit(0).alias("bucket"), term_counts.content_hash(df, "k").alias("hash"))
+
+    old = hashed([(1, "a", None), (2, "b", None), (3, None, "x"), (None, "n", None), (5, None, "x")])
+    new = hashed([(1, "a", None), (2, "c", None), (4, "d", None), (None, "n", None), (5, "x", None)])
+    assert {tuple(r) for r in term_counts.changed_keys(old, new).collect()} == {(2, 0, True, True), (3, 0, True, False), (4, 0, False, True), (5, 0, True, True)}
+
+
+def test_a_merge_touches_few_buckets(spark, tmp_path):
+    """Only buckets of changed records and terms are written again; a store is opened again, and removed."""
+    root = f"{tmp_path}/s"
+    store = term_counts.TermCounts(spark, "t", "k", terms, root)
+    rows = {i: f"w{i} all" for i in range(200)}
+    store.update(spark.createDataFrame(list(rows.items()), "k long, t string"))
+    rows[7] = "w7 none"
+    again = term_counts.TermCounts(spark, "t", "k", terms, root, version=1)
+    got = {r.term: (r.occurrences, r.records) for r in again.update(spark.createDataFrame(list(rows.items()), "k long, t string")).collect()}
+    assert got == brute(list(rows.items()))
+    assert sum(v == 2 for v in again.at["records"].values()) == 1 and 1 <= sum(v == 2 for v in again.at["counts"].values()) <= 2
+    before = dict(again.at["records"])
+    again.update(spark.createDataFrame(list(rows.items()), "k long, t string"))
+    assert again.at["records"] == before and 3 not in again.at["counts"].values()  # nothing changed, nothing written
+    again.remove()
+    assert not (tmp_path / "s").exists()
+
+
+def test_long_records(spark):
+    """A record's terms are folded in the time of sorting them; no record is cut."""
+    changes = spark.createDataFrame([("x " * 200_000 + " ".join(map(str, range(50_000))), 1), (None, -1), ("", 1)], "t string, sign int")
+    got = {r.term: (r.occurrences, r.records) for r in term_counts.delta_counts(terms(changes), F.col("_terms")).collect()}
+    assert len(got) == 50_001 and got["x"] == (200_000, 1) and got["49999"] == (1, 1)
+
+
+def test_snapshots_and_deltas_agree(spark):
+    """Additions alone, and changes with deletions, end in the same counts as one recount."""
+    d = "/root/testdata/sf0.001"
+    want = {tuple(r) for r in p5_found(spark, d).collect()}
+    assert want and want == {tuple(r) for r in p5_deltas(spark, d).collect()}
 
 
 def test_marks(spark):
@@ -108,7 +181,7 @@ def test_marks(spark):
 def test_tags_are_counted_one_by_one(spark, tmp_path):
     """A quoted tag may hold a line break, and the script of a tag does not depend on the tags beside it."""
     rows = [(1, '"dos\nlineas",mar', None), (2, "хор,mar", None), (3, None, None), (4, "mаr", "")]
-    spark.createDataFrame(rows, "row_id long, tags string, comments string").write.parquet(f"{tmp_path}/training_rows.parquet")
+    spark.createDataFrame([(*r, None) for r in rows], "row_id long, tags string, comments string, exported_at timestamp").write.parquet(f"{tmp_path}/training_rows.parquet")
     spark.createDataFrame([], "canon string").write.parquet(f"{tmp_path}/tag_terms.parquet")
     got = {r.term for r in p5_found(spark, str(tmp_path)).collect()}
     assert got == {"dos\nlineas", "mar", "хор"}
