@@ -108,6 +108,51 @@ def called(word: str) -> frozenset[str]:
     return frozenset(near)
 
 
+def name_tokens(raw: str) -> list[str]:
+    """The folded tokens of a name in natural order (what follows a comma comes first), without particles and words of address.
+
+    Capitals run together (``ML``) are initials, unless the whole name is in capitals.
+    """
+    text = re.sub(r"[(\[][^)\]]*[)\]]", " ", raw)
+    text = re.sub(r"(?i),?\s*\bph\.?\s?d\b\.?", " ", text)
+    shout = text.upper() == text
+    halves = []
+    for h in text.split(","):
+        out: list[str] = []
+        for w in _WORD.findall(fold_keep(h)):
+            f = w.lower()
+            if f in TITLES or f in PARTICLES:
+                continue
+            run = len(w) in (2, 3) and w.isupper() and not shout or shout and len(w) == 2 and not set(f) & set("aeiou")
+            out += list(f) if run else [f]
+        halves.append(out)
+    return [w for h in halves[1:] for w in h] + halves[0]
+
+
+def token_fit(a: str, b: str) -> int:
+    """3: the same token but for a slip; 2: a shortening or contraction of three letters or more; 1: an initial or shorter; 0: different."""
+    if a == b:
+        return 3 if len(a) > 1 else 1
+    short, full = sorted((a, b), key=len)
+    if len(short) > 2 and (alike(a, b) or len(short) > 7 and ratio(a, b) >= 0.88):
+        return 3
+    if full.startswith(short):
+        return 2 if len(short) > 2 else 1
+    return 1 if 1 < len(short) < 6 and short[0] == full[0] and lcs(short, full) == len(short) and len(full) > len(short) + 1 else 0
+
+
+def align(a: list[str], b: list[str]) -> tuple[list[tuple[int, int, int]], list[int], list[int]]:
+    """(pairs (i, j, fit), left of a, left of b): tokens paired one to one, best fit first, then in order."""
+    fits = sorted((-f, abs(i - j), i, j) for i, x in enumerate(a) for j, y in enumerate(b) if (f := token_fit(x, y)))
+    pairs, ia, ib = [], set(range(len(a))), set(range(len(b)))
+    for f, _, i, j in fits:
+        if i in ia and j in ib:
+            pairs.append((i, j, -f))
+            ia.discard(i)
+            ib.discard(j)
+    return pairs, sorted(ia), sorted(ib)
+
+
 def body_type(words: list[str]) -> tuple[str, list[str]] | None:
     """The type of a body and the words of its place, or None for a person."""
     kinds: dict[int, str] = {}
