@@ -1,67 +1,45 @@
 """Variant spellings of names typed by people: link the spellings of one person or body.
 
-Method: suffix blocking. Every name is read into its parts (given names, surnames, or the type and place of a body);
-names that read alike are one form. The suffixes of a form's tokens, from a least length on, are counted over all forms;
-a token is indexed under its shortest suffix that is not overly common. A token all of whose suffixes are overly common
-(a given name, the type of a body) is not dropped but refined with the other fields: it is indexed together with the
-beginning of each other token. Pairs within a block are compared token by token with the longest-common-subsequence
-ratio. Full spellings that agree are linked; a spelling with only initials joins the one group of full spellings it fits
-best, so that an initial never joins two relatives. Groups are the connected components.
+Method: suffix blocking. Names are cut into tokens; tokens that are overly common in the corpus (given names, the words of
+a body's type) are told from the others (surnames, places) by their frequency alone. What a common token is typed like is
+learnt too: slips, shortenings and contractions by the longest-common-subsequence, nicknames by co-variation, that is by
+standing with the same surnames as the common token more often than chance allows. No list of names or of types is used.
+
+The suffixes of a form's tokens, from a least length on, are counted over all forms; a token is indexed under its shortest
+suffix that is not overly common. A token all of whose suffixes are overly common is not dropped but refined with the
+other fields: it is indexed together with the beginning of each other token. Keys that are still common are split into
+blocks in which every pair meets. Pairs are compared token by token with the longest-common-subsequence ratio. Full
+spellings that agree are linked; a spelling with only initials joins the one group of full spellings it fits best, so that
+an initial never joins two relatives. Groups are the connected components.
 
 No step collects names on the driver: distinct strings are formed first (one author string may stand in a third of the
-rows), blocks are joined by key, and components are found by min-label rounds with reliable checkpoints.
+rows), blocks are joined by key, and components are found by min-label rounds with reliable checkpoints. The common
+tokens are sent to the executors: one in COMMON_SHARE tokens each, so there are at most COMMON_SHARE of them.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.llm.blocking import pairs_by_key
 from quire.session import cut
 
 #: Strings that stand where a name is missing.
 NO_NAMES = ("desconocido", "unknown", "varios autores")
 
-# Given names (folded) with short forms in common use, in alphabetical order.
-GIVEN = {
-    "abigail": "abby gail", "alejandro": "alex ale jandro alej alejo", "alexander": "alex sandy alec xander", "alvaro": "", "amanda": "mandy",
-    "amparo": "amparito", "andres": "andresito", "angela": "angelita angie", "antonio": "anto tono toni antº", "baltasar": "balta", "barbara": "babs barbie",
-    "beatriz": "bea betty", "begona": "bego", "benjamin": "ben benj benjie", "candela": "cande", "charles": "charlie chas chuck chaz", "christopher": "chris kit topher xpher",
-    "concepcion": "concha conchita conchi", "consuelo": "chelo consue", "daniel": "dan danny dani danl", "deborah": "debbie deb debby", "dolores": "lola loli dolo", "dorothy": "dot dottie dolly",
-    "eduardo": "edu lalo", "edward": "ed eddie ned ted edw", "eleanor": "nell nellie ellie nora", "elizabeth": "beth liz lizzie betty eliza bess", "elvira": "elvi vira",
-    "enrique": "quique kike enr", "fabiola": "fabi", "fermin": "fermi", "fernando": "nando fer fdo", "frances": "fran fanny frankie", "francisco": "paco pancho kiko curro frco fco",
-    "frederick": "fred freddie fredk", "gabriel": "gabi gabo", "gertrude": "gertie trudy trude", "gonzalo": "gonza chalo", "graciela": "chela grace", "gregory": "greg", "guadalupe": "lupe lupita guada",
-    "guillermo": "guille memo willy", "harriet": "hattie harrie", "herminia": "hermi mina", "hernan": "nan", "ignacio": "nacho igna", "imogen": "immy immie", "ines": "inesita", "inigo": "", "isabel": "isa chabela belita",
-    "jacqueline": "jackie jacqui", "jesus": "chus suso chuy", "jimena": "jime mena", "jonathan": "jon jonny johnny", "jose": "pepe jose pepito", "joseph": "joe joey jos",
-    "josephine": "josie jo", "judith": "judy jude", "julian": "juli", "katherine": "kate kathy katie kitty kath", "lawrence": "larry laurie lawr", "leandro": "lean leo",
-    "leonard": "len lenny leo", "lourdes": "lourditas lulu", "lucia": "luci lucy", "manuel": "manolo manu lolo", "margaret": "maggie meg peggy marge margie", "marta": "martita",
-    "martin": "tin", "matthew": "matt matty", "mercedes": "merche meche", "nathaniel": "nate nat nathan", "nicholas": "nick nicky nico", "nicolas": "nico", "noelia": "noe",
-    "oscar": "", "patrick": "pat paddy", "penelope": "penny pen", "pilar": "pili piluca", "quentin": "quent", "rafael": "rafa", "ramiro": "rami", "rebecca": "becky becca", "richard": "dick rick richie rich",
-    "robert": "bob rob bobby bert robt", "rocio": "chio", "rosalind": "roz ros lindy", "rosario": "charo chayo", "samuel": "sam sammy saml", "santiago": "santi chago tiago", "sebastian": "sebas bastian",
-    "sofia": "sofi chofi", "stephen": "steve steph stevie", "susannah": "sukey sue susie sanna", "teresa": "tere teresita maite", "theodore": "ted teddy theo", "thomas": "tom tommy thos",
-    "timothy": "tim timmy", "tomas": "tomasito tomi", "ursula": "ursi sula", "valentina": "vale tina", "veronica": "vero", "victoria": "vicky tori viqui", "vincent": "vince vin vinny",
-    "wendell": "wen dell", "william": "will bill billy wm liam", "winifred": "winnie freda fred",
-}
 #: Words of address, of authorship and degrees, which are no part of a name.
 TITLES = set("author autor autora by don dna doctor dr dra lady lord mr mrs ms phd por prof profesor professor profa sir sr sra srta".split())
 PARTICLES = set("da das de del der di do dos el la las los of the van von y and".split())
-#: Types of bodies, each by the words that make it up.
-BODIES = ("asociacion cultural", "fundacion", "grupo editorial", "historical society", "instituto estudios", "university press")
-_TYPE_WORDS = sorted({w for b in BODIES for w in b.split()})
-_SHORT = {"fdn": "fundacion", "fund": "fundacion", "fdcion": "fundacion"}
 _COMPANY = {"sa", "sl", "ltd", "inc"}
-
-_CALLED: dict[str, frozenset[str]] = {}
-for _full, _short in GIVEN.items():
-    for _w in (_full, *_short.split()):
-        _CALLED[_w] = _CALLED.get(_w, frozenset()) | {_full}
+#: A token of at least one in so many tokens of the distinct names is overly common.
+COMMON_SHARE = 1_000
 
 
 def fold(s: str) -> str:
@@ -97,17 +75,6 @@ def alike(a: str, b: str) -> bool:
     return lcs(a, b) >= max(n, m) - 1
 
 
-@lru_cache(100_000)
-def called(word: str) -> frozenset[str]:
-    """The given names a word can stand for: itself, a short form, or a slip in one."""
-    if word in _CALLED:
-        return _CALLED[word]
-    if len(word) < 4:
-        return frozenset()
-    near = [full for full in GIVEN if abs(len(full) - len(word)) < 2 and alike(full, word)]
-    return frozenset(near)
-
-
 def name_tokens(raw: str) -> list[str]:
     """The folded tokens of a name in natural order (what follows a comma comes first), without particles and words of address.
 
@@ -153,97 +120,63 @@ def align(a: list[str], b: list[str]) -> tuple[list[tuple[int, int, int]], list[
     return pairs, sorted(ia), sorted(ib)
 
 
-def body_type(words: list[str]) -> tuple[str, list[str]] | None:
-    """The type of a body and the words of its place, or None for a person."""
-    kinds: dict[int, str] = {}
-    for i, w in enumerate(words):
-        for t in _TYPE_WORDS:
-            if w == t or _SHORT.get(w) == t or len(w) > 4 and len(t) > 4 and alike(w, t):
-                kinds[i] = t
-    for b in BODIES:
-        parts = b.split()
-        if not set(parts) & set(kinds.values()):
-            continue
-        used = {i for i, t in kinds.items() if t in parts}
-        for p in parts:  # the other word of the type may be shortened
-            if p not in {kinds.get(i) for i in used}:
-                used |= {i for i, w in enumerate(words) if i not in used and len(w) >= 2 and p.startswith(w)}
-        return b, [w for i, w in enumerate(words) if i not in used and w not in PARTICLES and w not in _COMPANY and len(w) > 1]
-    # All words of the type shortened: Univ. Pr., Inst. Est., Hist. Soc.
-    for b in BODIES:
-        parts = b.split()
-        for i in range(len(words) - 1):
-            x, y = words[i : i + 2]
-            if len(parts) == 2 and len(x) > 2 and len(y) > 1 and parts[0].startswith(x) and parts[1].startswith(y) and x not in GIVEN:
-                if rest := [w for j, w in enumerate(words) if j not in (i, i + 1) and w not in PARTICLES and w not in _COMPANY and len(w) > 1]:
-                    return b, rest
-    return None
-
-
 _WORD = re.compile(r"[^\W\d_]+º?")
 
 
-def read_name(raw: str) -> tuple[str, tuple[str, ...], tuple[str, ...]] | None:
-    """(kind, given names, surnames) of a string; for a body (type, (), words of its place). None for no name."""
-    if raw is None or fold(raw).strip() in ("", *NO_NAMES):
-        return None
-    text = re.sub(r"[(\[][^)\]]*[)\]]", " ", raw)
-    shout = text.upper() == text
-    text = re.sub(r"(?i),?\s*\bph\.?\s?d\b\.?", " ", text)
-    halves = [[w for w in _WORD.findall(fold_keep(h)) if fold(w) not in TITLES] for h in text.split(",")]
-    halves = [h for h in halves if h]
-    if not halves:
-        words = [fold(w) for w in _WORD.findall(raw)]
-        return ("person", (), tuple(words)) if words else None
-    plain = [[fold(w) for w in h] for h in halves]
-    body = body_type([w for h in plain for w in h]) or (body_type([w for h in reversed(plain) for w in h]) if len(plain) > 1 else None)
-    if body:
-        return body[0], (), tuple(body[1])
-
-    def parts(h: list[str]) -> list[str]:
-        out = []
-        for w in h:
-            f = fold(w)
-            if f in PARTICLES:
-                continue
-            if len(w) in (2, 3) and w.isupper() and not shout and not called(f):
-                out += list(f)  # initials run together
-            elif shout and len(f) == 2 and not set(f) & set("aeiou"):
-                out += list(f)
-            else:
-                out.append(f)
-        return out
-
-    pieces = [p for h in halves if (p := parts(h))]
-    if not pieces:
-        return None
-
-    dotted = {fold(w) for w in re.findall(r"([^\W\d_]{3,})\.", text)}
-
-    def given(w: str) -> bool:
-        return bool(called(w)) or w in dotted and any(full.startswith(w) for full in GIVEN)
-
-    if len(pieces) > 1:
-        last, first = pieces[0], [w for p in pieces[1:] for w in p]
-        return "person", tuple(first), tuple(last)
-    ws = pieces[0]
-    if len(ws) > 2 and ws[0] == "d" and given(ws[1]):
-        ws = ws[1:]  # D. before a given name is a word of address
-    if len(ws) == 1:
-        return "person", (), tuple(ws)
-    lead = 0
-    while lead < len(ws) - 1 and (given(ws[lead]) or len(ws[lead]) == 1):
-        lead += 1
-    if lead:
-        return "person", tuple(ws[:lead]), tuple(ws[lead:])
-    tail = len(ws)
-    while tail > 1 and (given(ws[tail - 1]) or len(ws[tail - 1]) == 1):
-        tail -= 1
-    while tail < len(ws) - 1 and len(ws[tail]) == 1 and len(ws[-1]) > 1:
-        tail += 1  # an initial before the given name stands for a surname
-    if tail < len(ws):
-        return "person", tuple(ws[tail:]), tuple(ws[:tail])
-    return "person", tuple(ws[:1]), tuple(ws[1:])
+class Common:
+    """The overly common tokens of a corpus, and which of them a token can stand for."""
+
+    def __init__(self, tokens: Iterable[str]):
+        self.tokens = frozenset(t for t in tokens if len(t) > 1)
+        self.near: dict[str, set[str]] = {}
+        for t in self.tokens:
+            if len(t) > 3:
+                for x in self._cuts(t):
+                    self.near.setdefault(x, set()).add(t)
+        self.known: dict[str, frozenset[str]] = {}
+
+    @staticmethod
+    def _cuts(t: str) -> set[str]:
+        return {t, *(t[:i] + t[i + 1 :] for i in range(len(t)))}
+
+    def kin(self, w: str) -> frozenset[str]:
+        """The common tokens a token can stand for: itself, else those it is a slip, a shortening or a contraction of."""
+        if w in self.tokens:
+            return frozenset((w,))
+        if len(w) < 2 or len(w) > 40:
+            return frozenset()
+        if w not in self.known:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            near = {t for x in self._cuts(w) for t in self.near.get(x, ()) if alike(w, t)} if len(w) > 3 else set()
+            short = {t for t in self.tokens if len(w) < len(t) and (t.startswith(w) or len(w) < 6 and w[0] == t[0] and lcs(w, t) == len(w) and len(t) > len(w) + 1)} if not near else set()
+            self.known[w] = frozenset(near or {t for t in short if t.startswith(w)} or short)
+        return self.known[w]
+
+
+def read_name(tokens: list[str], kin: list[frozenset[str]]) -> tuple[list[int], list[int]]:
+    """(indices of given names or words of a type, indices of surnames or words of a place), each in order.
+
+    A token with common kin is given, and so is an initial at its side; where nothing tells, the first token is given.
+    """
+    n = len(tokens)
+    given = {i for i in range(n) if kin[i]}
+    rest = [i for i in range(n) if not kin[i] and len(tokens[i]) > 1]
+    ones = [i for i in range(n) if len(tokens[i]) == 1]
+    if not rest:
+        if len(given) > 1:  # a surname as common as a given name: the last one
+            given.discard(max(given))
+        return sorted(given | set(ones)), [i for i in range(n) if i not in given and i not in ones]
+    first = rest[0]
+    full = set(given)
+    for i in ones:
+        if i < first or not full or any(g > first and g < i for g in full):
+            given.add(i)
+    if not given and n > 1:
+        given = {0}
+    if n > 2 and tokens[0] == "d" and kin[1]:  # D. before a given name is a word of address
+        return sorted(given - {0}), [i for i in range(1, n) if i not in given]
+    return sorted(given), [i for i in range(n) if i not in given]
 
 
 def fold_keep(s: str) -> str:
@@ -252,23 +185,17 @@ def fold_keep(s: str) -> str:
     return "".join(c for c in t if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
 
 
-def given_fit(a: str, b: str) -> int:
-    """2: the same given name in full; 1: one is an initial or a shortening of the other; 0: different."""
+def given_fit(a: str, b: str, ka: frozenset[str], kb: frozenset[str]) -> int:
+    """2: the same given name in full; 1: one is an initial or a short contraction of the other; 0: different."""
     if a == b:
         return 2 if len(a) > 1 else 1
-    ca, cb = called(a), called(b)
     if len(a) == 1 or len(b) == 1:
-        full = b if len(a) == 1 else a
-        one = a if len(a) == 1 else b
-        return 1 if full[0] == one or any(x[0] == one for x in called(full)) else 0
-    if ca and cb:
-        return 2 if ca & cb else 0
-    short, full = sorted((a, b), key=len)
-    if len(short) >= 2 and full.startswith(short) or any(x.startswith(short) for x in (ca | cb)) and len(short) >= 2:
-        return 2 if len(short) >= 3 else 1
-    if short[0] == full[0] and not called(short) and len(short) < 5 and lcs(short, full) == len(short):
-        return 1  # a contraction
-    return 2 if alike(a, b) and not (ca and cb) else 0
+        one, full, kin = (a, b, kb) if len(a) == 1 else (b, a, ka)
+        return 1 if full[0] == one or any(x[0] == one for x in kin) else 0
+    if ka and kb:
+        return 2 if ka & kb else 0
+    fit = token_fit(a, b)
+    return 2 if fit > 1 else fit
 
 
 def surname_fit(a: str, b: str) -> int:
@@ -278,64 +205,96 @@ def surname_fit(a: str, b: str) -> int:
     return 2 if alike(a, b) or len(a) > 7 and len(b) > 7 and ratio(a, b) >= 0.88 and abs(len(a) - len(b)) < 2 else 0
 
 
-def same_name(ka, ga, sa, kb, gb, sb) -> int:
+def same_name(ga: list[str], ka: list[frozenset[str]], sa: list[str], gb: list[str], kb: list[frozenset[str]], sb: list[str]) -> int:
     """2: surely one person or body; 1: one of the two has only initials that fit the other; 0: not the same."""
-    if ka != kb:
-        if kb == "person":
-            ka, ga, sa, kb, gb, sb = kb, gb, sb, ka, ga, sa
-        # A body by the initials of its type: A. C., UP.
-        initials = ka == "person" and kb != "person" and list(ga) == [w[0] for w in kb.split()]
-        return 1 if initials and len(sa) == 1 and len(sb) == 1 and surname_fit(sa[0], sb[0]) == 2 else 0
-    if ka != "person":
-        a, b = "".join(sa), "".join(sb)
-        return 2 if a and b and (alike(a, b) or min(len(a), len(b)) > 7 and ratio(a, b) >= 0.9) else 0
     if not ga or not gb:
         return 2 if not ga and not gb and len(sa) == len(sb) and all(surname_fit(x, y) == 2 for x, y in zip(sa, sb, strict=True)) else 0
-    sure = 2
     if not sa or not sb or surname_fit(sa[0], sb[0]) < 2:
         return 0
-    for x, y in zip(sa[1:], sb[1:], strict=False):
-        if not surname_fit(x, y):
-            return 0
-    for i, (x, y) in enumerate(zip(ga, gb, strict=False)):
-        fit = given_fit(x, y)
-        if not fit:
-            return 0
-        if i == 0:
-            sure = min(sure, fit)
-    if sure == 1 and sa[0] != sb[0] and len(sa) != len(sb):
+    if not all(surname_fit(x, y) for x, y in zip(sa[1:], sb[1:], strict=False)):
+        return 0
+    fits = [given_fit(x, y, kx, ky) for x, y, kx, ky in zip(ga, gb, ka, kb, strict=False)]
+    if not all(fits) or fits[0] == 1 and sa[0] != sb[0] and len(sa) != len(sb):
         return 0  # an initial, a slip and a missing surname at once are too little to go by
-    return sure
+    return fits[0]
 
 
-FORM = T.StructType([T.StructField("kind", T.StringType()), *(T.StructField(c, T.ArrayType(T.StringType())) for c in ("given", "last", "fields"))])
+FORM = "given array<string>, kin array<array<string>>, last array<string>"
 
 
-def read_udf():
-    """Vectorised reading of names into (kind, given, last, fields); NULL for no name.
+def tokens_udf():
+    """Vectorised :func:`name_tokens`; a name that holds only particles or words of address is taken by all its words, NULL is no name."""
 
-    ``fields`` are tokens a form is indexed by besides ``last``: given names with the full names they may stand for, or
-    the words of a body's type.
-    """
-
-    def fields(kind: str, given: tuple[str, ...]) -> list[str]:
-        return sorted({*given, *(f for g in given for f in called(g))}) if kind == "person" else kind.split()
+    def one(raw: str | None) -> list[str] | None:
+        if raw is None or fold(raw).strip() in ("", *NO_NAMES):
+            return None
+        words = name_tokens(raw)
+        return [w for w in words if w not in _COMPANY] or words or [w.lower() for w in _WORD.findall(fold_keep(raw))] or None
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
-            got = [read_name(x) for x in b]
-            made = [(None,) * 4 if g is None else (g[0], list(g[1]), list(g[2]), fields(g[0], g[1])) for g in got]
-            yield pd.DataFrame(made, columns=FORM.names, dtype="object")
+            yield pd.Series([one(x) for x in b], dtype="object")
+
+    return F.pandas_udf(run, "array<string>").asNondeterministic()
+
+
+def common_tokens(tokens: DataFrame) -> list[str]:
+    """The overly common tokens of (tokens), one row a distinct name: at most COMMON_SHARE."""
+    n = cut(tokens.select(F.explode("tokens").alias("token")).groupBy("token").count())
+    total = n.agg(F.sum("count")).first()[0] or 0
+    return sorted(r.token for r in n.where(F.col("count") > max(3, total / COMMON_SHARE)).select("token").collect())
+
+
+def form_udf(common: list[str]):
+    """Vectorised reading of tokens, and of learnt kin by token, into a form."""
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        words = Common(common)
+        for names, learnt in batches:
+            out = []
+            for tokens, more in zip(names, learnt, strict=True):
+                told = {} if more is None else {x["token"]: frozenset(x["kin"]) for x in more}
+                kin = [words.kin(t) | told.get(t, frozenset()) for t in tokens]
+                given, last = read_name(list(tokens), kin)
+                out.append(([tokens[i] for i in given], [sorted(kin[i]) for i in given], [tokens[i] for i in last]))
+            yield pd.DataFrame(out, columns=["given", "kin", "last"], dtype="object")
 
     return F.pandas_udf(run, FORM).asNondeterministic()
 
 
+#: A nickname stands with this part of its surnames beside the common name, and with so many surnames at least.
+LEAST_SHARED, LEAST_SURNAMES = 0.25, 2
+
+
+def nicknames(names: DataFrame) -> DataFrame:
+    """(token, kin): tokens that co-vary with common ones, of (tokens, given, kin, last) of distinct names.
+
+    A name without a common token has its given name first or last. Such a token, or a common one, stands for another common one if it is found
+    with the very surnames of that one, for LEAST_SURNAMES different ones and LEAST_SHARED of all it has, or if it is a
+    part of it (a subsequence) and one surname tells. Surnames that are themselves overly common hold many people and tell nothing,
+    so they do only together with a second surname.
+    """
+    known = names.where(F.exists("kin", lambda k: F.size(k) == 1)).where(F.size("last") > 0).select(F.array_join("last", " ").alias("who"), F.explode(F.filter("kin", lambda k: F.size(k) == 1)).alias("k")).select("who", F.col("k")[0].alias("common")).distinct()
+    n = F.size("tokens")
+    sides = F.array(
+        F.struct(F.element_at("tokens", 1).alias("token"), F.array_join(F.slice("tokens", 2, n - 1), " ").alias("who")),
+        F.struct(F.element_at("tokens", -1).alias("token"), F.array_join(F.slice("tokens", 1, n - 1), " ").alias("who")),
+    )
+    plain = names.where((n > 1) & ~F.exists("kin", lambda k: F.size(k) > 0)).select(F.inline(sides)).where("length(token) > 1").distinct()
+    plain = plain.unionByName(known.select(F.col("common").alias("token"), "who"))
+    shared = plain.join(known, "who").where("token <> common").groupBy("token", "common").agg(F.count("*").alias("met"))
+    each = plain.groupBy("token").agg(F.count("*").alias("all"))
+    part = F.rlike("common", F.concat(F.lit("^.*"), F.array_join(F.split("token", ""), ".*"), F.lit(".*$")))
+    good = shared.join(each, "token").where((F.col("met") >= LEAST_SURNAMES) & (F.col("met") >= LEAST_SHARED * F.col("all")) | part & (F.col("met") >= LEAST_SHARED * F.col("all")))
+    return good.groupBy("token").agg(F.sort_array(F.collect_set("common")).alias("kin"))
+
+
 def fit_udf():
     """Vectorised :func:`same_name` over the columns of two forms."""
 
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for cols in batches:
-            yield pd.Series([same_name(ka, tuple(ga), tuple(sa), kb, tuple(gb), tuple(sb)) for ka, ga, sa, kb, gb, sb in zip(*cols, strict=True)], dtype="int32")
+            yield pd.Series([same_name(list(ga), [frozenset(k) for k in ka], list(sa), list(gb), [frozenset(k) for k in kb], list(sb)) for ga, ka, sa, gb, kb, sb in zip(*cols, strict=True)], dtype="int32")
 
     return F.pandas_udf(run, T.IntegerType()).asNondeterministic()
 
@@ -370,12 +329,12 @@ def blocks(forms: DataFrame, least: int = 4, common: int = 60) -> DataFrame:
     its shortest suffix that is not; a token without one is refined with the beginning of each other token. The pairs
     of longer suffixes are pairs of the shorter one too, so one key a token loses nothing.
     """
-    tokens = forms.select("id", "kind", F.explode(F.array_distinct(F.concat("fields", "last"))).alias("token"), F.concat("fields", "last").alias("all")).where(F.length("token") > 1)
+    tokens = forms.select("id", F.explode(F.array_distinct(F.concat("fields", "last"))).alias("token"), F.concat("fields", "last").alias("all")).where(F.length("token") > 1)
     # Every length up to 20, then in growing steps, so that a token of any length has few suffixes.
     size = F.length("token")
     steps = [n for n in [*range(least, 21), 24, 32, 48, *(64 << k for k in range(25))] if n >= least]
     lengths = F.when(size < least, F.array(size)).otherwise(F.filter(F.array(*map(F.lit, steps)), lambda n: n <= size))
-    suffixes = tokens.select("id", "kind", "token", "all", F.explode(lengths).alias("n")).withColumn("suffix", F.expr("right(token, n)"))
+    suffixes = tokens.select("id", "token", "all", F.explode(lengths).alias("n")).withColumn("suffix", F.expr("right(token, n)"))
     often = suffixes.groupBy("suffix").agg(F.count_distinct("id").alias("forms"))
     fine = suffixes.join(often.where(F.col("forms") <= common), "suffix")
     best = fine.groupBy("id", "token").agg(F.min("n").alias("n")).select("id", F.expr("right(token, n)").alias("key"), "token")
@@ -390,22 +349,36 @@ def blocks(forms: DataFrame, least: int = 4, common: int = 60) -> DataFrame:
     return best.select("id", "key").union(refined).union(first).distinct()
 
 
+def read_names(names: DataFrame, column: str) -> DataFrame:
+    """(name, uses, given, kin, last) of every distinct name; nicknames are learnt from a first reading."""
+    each = names.select(F.col(f"`{column}`").alias("name")).where(F.col("name").isNotNull()).groupBy("name").agg(F.count("*").alias("uses"))
+    each = cut(each.withColumn("tokens", tokens_udf()("name")).where("tokens is not null"))
+    common = common_tokens(each)
+    read = form_udf(common)
+    nothing = F.lit(None).cast("array<struct<token:string,kin:array<string>>>")
+    first = cut(each.select("name", "uses", "tokens", read("tokens", nothing).alias("f")).select("name", "uses", "tokens", "f.*"))
+    learnt = cut(nicknames(first))
+    some = each.select("name", F.explode(F.array_distinct("tokens")).alias("token")).join(learnt, "token").groupBy("name").agg(F.collect_list(F.struct("token", "kin")).alias("more"))
+    again = first.join(some, "name").select("name", "uses", read("tokens", "more").alias("f")).select("name", "uses", "f.*")
+    return first.join(some, "name", "left_anti").select("name", "uses", "given", "kin", "last").unionByName(again)
+
+
 def link_names(names: DataFrame, column: str = "name", least: int = 4, common: int = 60) -> DataFrame:
     """(name, group): every distinct name of the column with the id of its group.
 
     NULL, strings without a letter and the placeholders of ``NO_NAMES`` are no names and have no row. Equal strings are
     one name; a name without variants is a group of its own. Other columns are dropped.
     """
-    each = names.select(F.col(f"`{column}`").alias("name")).where(F.col("name").isNotNull()).groupBy("name").agg(F.count("*").alias("uses"))
-    read = each.withColumn("form", read_udf()(F.col("name"))).where("form.kind is not null")
-    read = cut(read.select("name", "uses", "form.*").withColumn("id", F.xxhash64("kind", "given", "last")))
-    forms = read.groupBy("id").agg(F.first("kind").alias("kind"), F.first("given").alias("given"), F.first("last").alias("last"), F.first("fields").alias("fields"), F.sum("uses").alias("uses"))
-    forms = cut(forms)
-    key = blocks(forms, least, common)
-    here = forms.select("id", "kind", "given", "last")
-    side = lambda x: key.join(here, "id").select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "kind", "given", "last")])
-    pairs = side("a").join(side("b"), "key").where("id_a < id_b and (kind_a = kind_b or kind_a = 'person' and length(given_a[0]) = 1 or kind_b = 'person' and length(given_b[0]) = 1)").dropDuplicates(["id_a", "id_b"])
-    fit = cut(pairs.withColumn("fit", fit_udf()("kind_a", "given_a", "last_a", "kind_b", "given_b", "last_b")).where("fit > 0").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "fit"))
+    # A form is told by its fields themselves, joined by marks that no token holds.
+    form = F.concat_ws("|", F.array_join("given", " "), F.array_join(F.transform("kin", lambda k: F.array_join(k, ",")), " "), F.array_join("last", " "))
+    read = cut(read_names(names, column).withColumn("id", form))
+    fields = F.array_distinct(F.concat("given", F.flatten("kin")))
+    forms = cut(read.groupBy("id").agg(F.first("given").alias("given"), F.first("kin").alias("kin"), F.first("last").alias("last"), F.sum("uses").alias("uses")).withColumn("fields", fields))
+    key = cut(blocks(forms, least, common))
+    side = lambda x: forms.select(*[F.col(c).alias(f"{c}_{x}") for c in ("id", "given", "kin", "last")])
+    met = pairs_by_key(key, key).where("a < b")
+    pairs = met.join(side("a"), F.col("a") == F.col("id_a")).join(side("b"), F.col("b") == F.col("id_b"))
+    fit = cut(pairs.select("a", "b", fit_udf()("given_a", "kin_a", "last_a", "given_b", "kin_b", "last_b").alias("fit")).where("fit > 0"))
     sure = fit.where("fit = 2").select("a", "b")
     group = cut(components(forms.select("id"), sure))
     # A spelling with initials only, or with a contraction: the largest group of full spellings it fits.
@@ -419,8 +392,11 @@ def link_names(names: DataFrame, column: str = "name", least: int = 4, common: i
     chosen = ranked.select("a", F.col("best.b").alias("b"))
     both = weak.where("a < b and sa < 3 and sb < 3").select("a", "b")
     both = both.join(chosen.select("a"), "a", "left_anti").join(chosen.select(F.col("a").alias("b")), "b", "left_anti").select("a", "b")
-    final = components(forms.select("id"), sure.union(chosen).union(both))
-    return read.join(final, "id").select("name", "group")
+    # The sure groups are one node each from here on.
+    more, of = chosen.union(both), lambda x: group.select(F.col("id").alias(x), F.col("group").alias(f"g{x}"))
+    joined = more.join(of("a"), "a").join(of("b"), "b").select(F.col("ga").alias("a"), F.col("gb").alias("b"))
+    final = components(group.select(F.col("group").alias("id")).distinct(), joined).withColumnsRenamed({"group": "g"})
+    return read.select("name", "id").join(group, "id").join(final.withColumnRenamed("id", "group"), "group").select("name", F.col("g").alias("group"))
 
 
 def name_pairs(names: DataFrame, column: str = "name", **how) -> DataFrame:
