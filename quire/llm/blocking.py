@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import isqrt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.session import cut
@@ -13,9 +14,12 @@ from quire.session import cut
 BLOCK_PAIRS = 2_000
 
 
-def pairs_by_key(ka: DataFrame, kb: DataFrame, most: int = BLOCK_PAIRS) -> DataFrame:
+def pairs_by_key(ka: DataFrame, kb: DataFrame, most: int = BLOCK_PAIRS, able: Column | None = None, keep: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """(a, b): the pairs of ids of (id, key) that share a key, all of them, once each.
 
+    ``able``: a condition on the further columns of both sides (``x_a``, ``x_b``) that holds for every pair that is wanted; it is
+    tested where a pair is formed, so that no other pair is shuffled or written.
+
     Keys with more than ``most`` pairs are split into a grid of blocks of about that many pairs each: a row stands in one
     block row or column of its key and meets every row of the other side in exactly one block. ``most`` bounds the work
     of a block and has no influence on the pairs.
@@ -23,11 +27,13 @@ def pairs_by_key(ka: DataFrame, kb: DataFrame, most: int = BLOCK_PAIRS) -> DataF
     n = ka.groupBy("key").agg(F.count("*").alias("na")).join(kb.groupBy("key").agg(F.count("*").alias("nb")), "key")
     side = max(1, isqrt(most))
     hot = F.col("na") * F.col("nb") > most
-    n = cut(n.select("key", *[F.when(hot, F.ceil(F.col(f"n{x}") / side)).otherwise(F.lit(1)).alias(f"of_{x}") for x in "ab"]))
+    n = keep(n.select("key", *[F.when(hot, F.ceil(F.col(f"n{x}") / side)).otherwise(F.lit(1)).alias(f"of_{x}") for x in "ab"]))
 
     def blocks(k: DataFrame, own: str, other: str) -> DataFrame:
         k = k.join(n, "key").withColumn(own, F.pmod(F.xxhash64("id"), F.col(f"of_{own}")))
-        return k.select(F.col("id").alias(f"id_{own}"), "key", own, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"of_{other}") - 1)).alias(other))
+        more = [F.col(c).alias(f"{c}_{own}") for c in k.columns if c not in ("key", own, f"of_{own}", f"of_{other}")]
+        return k.select(*more, "key", own, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"of_{other}") - 1)).alias(other))
 
     met = blocks(ka, "a", "b").join(blocks(kb, "b", "a"), ["key", "a", "b"])
+    met = met if able is None else met.where(able)
     return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()

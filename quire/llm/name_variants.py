@@ -13,7 +13,9 @@ spellings that agree are linked; a spelling with only initials joins the one gro
 an initial never joins two relatives. Groups are the connected components.
 
 No step collects names on the driver: distinct strings are formed first (one author string may stand in a third of the
-rows), blocks are joined by key, and components are found by min-label rounds with reliable checkpoints. The common
+rows), blocks are joined by key, and components are found by min-label rounds with reliable checkpoints. What a pair must have
+in common to be linked (near surnames, a letter of the given name) is tested while blocks are joined, so pairs that
+only share a block are neither shuffled nor written. The common
 tokens are sent to the executors: one in COMMON_SHARE tokens each, so there are at most COMMON_SHARE of them.
 """
 
@@ -21,15 +23,15 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm.blocking import pairs_by_key
-from quire.session import cut
+from quire.session import Scratch, cut
 
 #: Strings that stand where a name is missing.
 NO_NAMES = ("desconocido", "unknown", "varios autores")
@@ -238,9 +240,9 @@ def tokens_udf():
     return F.pandas_udf(run, "array<string>").asNondeterministic()
 
 
-def common_tokens(tokens: DataFrame) -> list[str]:
+def common_tokens(tokens: DataFrame, keep: Callable[[DataFrame], DataFrame] = cut) -> list[str]:
     """The overly common tokens of (tokens), one row a distinct name: at most COMMON_SHARE."""
-    n = cut(tokens.select(F.explode("tokens").alias("token")).groupBy("token").count())
+    n = keep(tokens.select(F.explode("tokens").alias("token")).groupBy("token").count())
     total = n.agg(F.sum("count")).first()[0] or 0
     return sorted(r.token for r in n.where(F.col("count") > max(3, total / COMMON_SHARE)).select("token").collect())
 
@@ -299,31 +301,34 @@ def fit_udf():
     return F.pandas_udf(run, T.IntegerType()).asNondeterministic()
 
 
-def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 40, scratch: Scratch | None = None) -> DataFrame:
     """(id, group): the least id of each connected component, for nodes (id) and undirected edges (a, b).
 
     Min-label rounds with pointer jumping: a node takes the least label among its own and its neighbours', then the
-    label of its label. Labels are checkpointed each round, so lineage stays short and an executor's loss costs one round.
+    label of its label. Labels are written each round, to ``scratch`` if given, so lineage stays short and an executor's loss costs one round.
     """
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    keep = scratch.keep if scratch else cut
+    both = keep(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = nodes.select("id", F.col("id").alias("group"))
-    linked = cut(both.select(F.col("a").alias("id")).distinct().select("id", F.col("id").alias("group")))
+    linked = keep(both.select(F.col("a").alias("id")).distinct().select("id", F.col("id").alias("group")))
     for _ in range(most_rounds):
-        near = both.join(linked, both.b == linked.id).groupBy("a").agg(F.min("group").alias("least"))
-        step = linked.join(near, linked.id == near.a, "left").select("id", F.least("group", F.coalesce("least", "group")).alias("group"), F.col("group").alias("was"))
+        near = both.join(linked.select("id", "group"), F.col("b") == F.col("id")).groupBy("a").agg(F.min("group").alias("least"))
+        step = linked.select("id", "group").join(near, F.col("id") == F.col("a"), "left").select("id", F.least("group", F.coalesce("least", "group")).alias("group"), F.col("group").alias("was"))
         jump = step.select(F.col("id").alias("j"), F.col("group").alias("jumped"))
-        new = cut(step.join(jump, step.group == jump.j, "left").select("id", F.least("group", F.coalesce("jumped", "group")).alias("group"), "was"))
+        new = keep(step.join(jump, step.group == jump.j, "left").select("id", F.least("group", F.coalesce("jumped", "group")).alias("group"), "was"))
         done = new.where(F.col("group") != F.col("was")).limit(1).count() == 0
-        linked = new.select("id", "group")
+        if scratch:
+            scratch.drop(linked)
+        linked = new
         if done:
             break
     else:
         raise RuntimeError("components did not settle")
-    return labels.join(linked.withColumnRenamed("group", "g"), "id", "left").select("id", F.coalesce("g", "group").alias("group"))
+    return labels.join(linked.select("id", F.col("group").alias("g")), "id", "left").select("id", F.coalesce("g", "group").alias("group"))
 
 
 def blocks(forms: DataFrame, least: int = 4, common: int = 60) -> DataFrame:
-    """(id, key) of every form under the suffix index.
+    """(id, key) of every form under the suffix index; a key is a 64-bit number, whose collision only adds pairs to compare.
 
     ``least``: the shortest suffix; ``common``: a suffix of more forms than this is overly common. A token goes under
     its shortest suffix that is not; a token without one is refined with the beginning of each other token. The pairs
@@ -346,18 +351,18 @@ def blocks(forms: DataFrame, least: int = 4, common: int = 60) -> DataFrame:
     people = forms.select("id", F.explode(F.array_distinct(F.transform("fields", lambda g: F.substring(g, 1, 1)))).alias("i"), "last")
     first = people.select("id", "i", F.explode("last").alias("other")).where(F.length("other") > 2)
     first = first.select("id", F.concat("i", F.lit("|"), F.substring("other", 1, 4)).alias("key"))
-    return best.select("id", "key").union(refined).union(first).distinct()
+    return best.select("id", "key").union(refined).union(first).select("id", F.xxhash64("key").alias("key")).distinct()
 
 
-def read_names(names: DataFrame, column: str) -> DataFrame:
+def read_names(names: DataFrame, column: str, keep: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """(name, uses, given, kin, last) of every distinct name; nicknames are learnt from a first reading."""
     each = names.select(F.col(f"`{column}`").alias("name")).where(F.col("name").isNotNull()).groupBy("name").agg(F.count("*").alias("uses"))
-    each = cut(each.withColumn("tokens", tokens_udf()("name")).where("tokens is not null"))
-    common = common_tokens(each)
+    each = keep(each.withColumn("tokens", tokens_udf()("name")).where("tokens is not null"))
+    common = common_tokens(each, keep)
     read = form_udf(common)
     nothing = F.lit(None).cast("array<struct<token:string,kin:array<string>>>")
-    first = cut(each.select("name", "uses", "tokens", read("tokens", nothing).alias("f")).select("name", "uses", "tokens", "f.*"))
-    learnt = cut(nicknames(first))
+    first = keep(each.select("name", "uses", "tokens", read("tokens", nothing).alias("f")).select("name", "uses", "tokens", "f.*"))
+    learnt = keep(nicknames(first))
     some = each.select("name", F.explode(F.array_distinct("tokens")).alias("token")).join(learnt, "token").groupBy("name").agg(F.collect_list(F.struct("token", "kin")).alias("more"))
     again = first.join(some, "name").select("name", "uses", read("tokens", "more").alias("f")).select("name", "uses", "f.*")
     return first.join(some, "name", "left_anti").select("name", "uses", "given", "kin", "last").unionByName(again)
@@ -369,38 +374,64 @@ def link_names(names: DataFrame, column: str = "name", least: int = 4, common: i
     NULL, strings without a letter and the placeholders of ``NO_NAMES`` are no names and have no row. Equal strings are
     one name; a name without variants is a group of its own. Other columns are dropped.
     """
-    # A form is told by its fields themselves, joined by marks that no token holds.
+    with Scratch(names.sparkSession) as scratch:
+        return cut(_linked(names, column, least, common, scratch))
+
+
+def near(a: Column, b: Column) -> Column:
+    """Whether two tokens can be the same but for slips: holds wherever :func:`alike` does, or a ratio of 0.88 at lengths that differ by one at most."""
+    size = F.length(a) + F.length(b)
+    most = F.greatest(F.lit(2), F.ceil(0.12 * size).cast("int"))
+    return F.coalesce((a == b) | (F.abs(F.length(a) - F.length(b)) < 2) & (F.call_function("levenshtein", a, b, most) >= 0), F.lit(True))
+
+
+def comparable() -> Column:
+    """Holds for every two forms that :func:`same_name` can link: first surnames that are near, and first given names with a first letter in common (their own or their kin's) or near."""
+    c = F.col
+    return (c("id_a") < c("id_b")) & near(c("surname_a"), c("surname_b")) & (F.coalesce(F.arrays_overlap("letters_a", "letters_b"), F.lit(True)) | near(c("given_a"), c("given_b")))
+
+
+def _linked(names: DataFrame, column: str, least: int, common: int, scratch: Scratch) -> DataFrame:
+    keep, drop = scratch.keep, scratch.drop
+    # A form is told by its fields themselves, joined by marks that no token holds. Its number follows the order of the forms.
     form = F.concat_ws("|", F.array_join("given", " "), F.array_join(F.transform("kin", lambda k: F.array_join(k, ",")), " "), F.array_join("last", " "))
-    read = cut(read_names(names, column).withColumn("id", form))
+    read = keep(read_names(names, column, keep).withColumn("form", form))
     fields = F.array_distinct(F.concat("given", F.flatten("kin")))
-    forms = cut(read.groupBy("id").agg(F.first("given").alias("given"), F.first("kin").alias("kin"), F.first("last").alias("last"), F.sum("uses").alias("uses")).withColumn("fields", fields))
-    key = cut(blocks(forms, least, common))
+    forms = read.groupBy("form").agg(F.first("given").alias("given"), F.first("kin").alias("kin"), F.first("last").alias("last"), F.sum("uses").alias("uses")).withColumn("fields", fields)
+    forms = keep(forms.orderBy("form").withColumn("id", F.monotonically_increasing_id()))
+    named = keep(read.select("name", "form").join(forms.select("form", "id"), "form").select("name", "id"))
+    drop(read)
+    letters = F.array_distinct(F.transform(F.concat(F.slice("given", 1, 1), F.coalesce(F.try_element_at("kin", F.lit(1)), F.array())), lambda g: F.substring(g, 1, 1)))
+    features = forms.select("id", F.try_element_at("last", F.lit(1)).alias("surname"), F.try_element_at("given", F.lit(1)).alias("given"), F.when(F.size("given") > 0, letters).alias("letters"))
+    key = keep(blocks(forms, least, common).join(features, "id"))
+    met = keep(pairs_by_key(key, key, able=comparable(), keep=keep))
+    drop(key)
     side = lambda x: forms.select(*[F.col(c).alias(f"{c}_{x}") for c in ("id", "given", "kin", "last")])
-    met = pairs_by_key(key, key).where("a < b")
     pairs = met.join(side("a"), F.col("a") == F.col("id_a")).join(side("b"), F.col("b") == F.col("id_b"))
-    fit = cut(pairs.select("a", "b", fit_udf()("given_a", "kin_a", "last_a", "given_b", "kin_b", "last_b").alias("fit")).where("fit > 0"))
+    fit = keep(pairs.select("a", "b", fit_udf()("given_a", "kin_a", "last_a", "given_b", "kin_b", "last_b").alias("fit")).where("fit > 0"))
+    drop(met)
     sure = fit.where("fit = 2").select("a", "b")
-    group = cut(components(forms.select("id"), sure))
+    group = keep(components(forms.select("id"), sure, scratch=scratch))
     # A spelling with initials only, or with a contraction: the largest group of full spellings it fits.
-    weight = forms.join(group, "id").groupBy("group").agg(F.sum("uses").alias("weight"))
+    weight = forms.select("id", "uses").join(group, "id").groupBy("group").agg(F.sum("uses").alias("weight"))
     # Of two longer given names that fit only so, the shorter is the contraction.
     size = forms.select("id", F.coalesce(F.length(F.try_element_at("given", F.lit(1))), F.lit(3)).alias("size"))
     weak = fit.where("fit = 1").select("a", "b").union(fit.where("fit = 1").select("b", "a"))
-    weak = weak.join(size.withColumnsRenamed({"id": "a", "size": "sa"}), "a").join(size.withColumnsRenamed({"id": "b", "size": "sb"}), "b")
+    weak = keep(weak.join(size.withColumnsRenamed({"id": "a", "size": "sa"}), "a").join(size.withColumnsRenamed({"id": "b", "size": "sb"}), "b"))
     choice = weak.where("sb >= 3 and (sa < 3 or sa < sb)").select("a", "b")
     ranked = choice.join(group, choice.b == group.id).join(weight, "group").groupBy("a").agg(F.max(F.struct("weight", "group", "b")).alias("best"))
-    chosen = ranked.select("a", F.col("best.b").alias("b"))
+    chosen = keep(ranked.select("a", F.col("best.b").alias("b")))
     both = weak.where("a < b and sa < 3 and sb < 3").select("a", "b")
     both = both.join(chosen.select("a"), "a", "left_anti").join(chosen.select(F.col("a").alias("b")), "b", "left_anti").select("a", "b")
     # The sure groups are one node each from here on.
     more, of = chosen.union(both), lambda x: group.select(F.col("id").alias(x), F.col("group").alias(f"g{x}"))
-    joined = more.join(of("a"), "a").join(of("b"), "b").select(F.col("ga").alias("a"), F.col("gb").alias("b"))
-    final = components(group.select(F.col("group").alias("id")).distinct(), joined).withColumnsRenamed({"group": "g"})
-    return read.select("name", "id").join(group, "id").join(final.withColumnRenamed("id", "group"), "group").select("name", F.col("g").alias("group"))
+    joined = keep(more.join(of("a"), "a").join(of("b"), "b").select(F.col("ga").alias("a"), F.col("gb").alias("b")))
+    final = components(group.select(F.col("group").alias("id")).distinct(), joined, scratch=scratch).withColumnsRenamed({"group": "g"})
+    return named.join(group, "id").join(final.withColumnRenamed("id", "group"), "group").select("name", F.col("g").alias("group"))
 
 
 def name_pairs(names: DataFrame, column: str = "name", **how) -> DataFrame:
     """(name_a, name_b), name_a < name_b by code points: all pairs of different strings of one group."""
-    g = cut(link_names(names, column, **how))
+    g = link_names(names, column, **how)
     a, b = g.select("group", F.col("name").alias("name_a")), g.select("group", F.col("name").alias("name_b"))
     return a.join(b, "group").where("name_a < name_b").select("name_a", "name_b")

@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +56,51 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables of one run of an operator in the shared folder, for runs of many steps.
+
+    The files of a checkpoint or of a shuffle stay until the driver happens to collect its garbage, so a long run would hold
+    those of all its steps at once. Inside the block a shuffle's files go with the step that made them, a table when
+    it is dropped, and the rest at the end; what the block returns must not read from its tables.
+    """
+
+    CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.made = spark, 0
+        self.root = f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def __enter__(self) -> Scratch:
+        self.was = self.spark.conf.get(self.CLEAN, None)
+        self.spark.conf.set(self.CLEAN, "true")
+        return self
+
+    def __exit__(self, *_) -> None:
+        if self.was is None:
+            self.spark.conf.unset(self.CLEAN)
+        else:
+            self.spark.conf.set(self.CLEAN, self.was)
+        self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """The rows as a table of their own; its lineage ends there, and it survives the loss of executors."""
+        path = f"{self.root}/{self.made}"
+        self.made += 1
+        df.write.option("compression", "zstd").parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(table)] = table, path
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            self._delete(self.paths.pop(id(t))[1])
+
+
 _shipped: set[str] = set()
 
 

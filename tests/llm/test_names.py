@@ -1,9 +1,13 @@
 """Name variants: readings, comparison, blocking against all pairs, groups and edge cases."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm.name_variants import Common, components, lcs, link_names, name_pairs, name_tokens, nicknames, read_name, read_names, same_name
+from quire.llm.blocking import pairs_by_key
+from quire.llm.name_variants import Common, comparable, components, lcs, link_names, name_pairs, name_tokens, nicknames, read_name, read_names, same_name
+from quire.session import shared_dir
 
 COMMON = Common("julian tomas consuelo jimena marta dolores frederick elvira valentina guadalupe guillermo deborah ana beatriz manuel instituto estudios historical society university press asociacion cultural grupo editorial fundacion".split())
 
@@ -135,3 +139,35 @@ def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 5), (7, 8), (9, 9)], "a long, b long")
     got = {r.id: r.group for r in components(nodes, edges).collect()}
     assert got == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 6, 7: 7, 8: 7, 9: 9, 10: 10, 11: 11}
+
+
+def features(spark, names):
+    """(id, key, and what comparable() reads) of the names, all under one key."""
+    rows = []
+    for i, n in enumerate(names):
+        given, kin, last = read(n)
+        rows.append((i, 1, last[0] if last else None, given[0] if given else None, sorted({x[0] for x in [given[0], *kin[0]]}) if given else None))
+    return spark.createDataFrame(rows, "id long, key long, surname string, given string, letters array<string>")
+
+
+def test_blocks_form_only_pairs_that_can_be_linked(spark):
+    """Of a hot block only pairs that the comparison can link come out, and none of those is lost."""
+    odd = ["Kristina Nebimak", "Cristina Nebimak", "Ermelinda Huvúbram", "Emelinda Huvubram", "Madonna", "Madona", "A. Cremat", "Guadalupe Dilegasamar", "Guadalupe Dilegsamare"]
+    names = [*(x for p in SAME + OTHER for x in p), *odd, *(f"Jimena {word(i)}" for i in range(150))]
+    df = features(spark, names)
+    for most in (4, 2_000):
+        got = {tuple(r) for r in pairs_by_key(df, df, most, able=comparable()).collect()}
+        can = {(i, j) for i in range(len(names)) for j in range(i + 1, len(names)) if same_name(*read(names[i]), *read(names[j]))}
+        assert can <= got and len(got) < 0.5 * len(names) * (len(names) - 1) / 2, most
+
+
+def test_steps_leave_no_files(spark):
+    """The files of a step go with it: neither shuffled blocks nor tables of earlier steps are left."""
+    df = corpus(spark, ["Jimena Vazegallo", "J. Vazegallo"], HEADS)
+    sc = spark.sparkContext
+    files = lambda: {f.getName() for f in (x.apply(i) for x in [sc._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()] for i in range(x.size())) if f.getName().startswith("shuffle_")}
+    was = files()
+    g = {r.name: r.group for r in link_names(df).collect()}
+    assert g["J. Vazegallo"] == g["Jimena Vazegallo"]
+    assert len(files() - was) <= 8  # the last step's, if any
+    assert not list(Path(shared_dir(spark).removeprefix("file://")).glob("scratch-*"))
